@@ -275,10 +275,10 @@ _RUN_TIME = LOAD_TIME.replace(" ", "T") + "Z"
 
 
 def _bucketed(width: str, extra: str = "", keys: str = ", event_type") -> str:
-    cents = "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE)"
+    units = "CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS DOUBLE)"
     return f"""
         SELECT strftime(time_bucket(INTERVAL '{width}', ts), '%Y-%m-%d %H:%M:%S') AS window_start{keys},
-               count(*) AS n, {cents} / 100e0 AS sum_value, {cents} / CAST(count(value) AS DOUBLE) / 100e0 AS avg_value
+               count(*) AS n, {units} / 10000e0 AS sum_value, {units} / CAST(count(value) AS DOUBLE) / 10000e0 AS avg_value
         FROM events {extra} GROUP BY time_bucket(INTERVAL '{width}', ts){keys}"""
 
 
@@ -401,7 +401,7 @@ def oracle_sql() -> dict[str, str]:
             FROM risk WHERE ingestion_date = DATE '{KPI_DAY}' AND risk_tier IN ('HIGH', 'MEDIUM')"""),
         "q3_revenue_trend": _with("kpi", f"""
             SELECT state, week, count(DISTINCT retailer_id) AS active_retailers,
-                   {half_up('CAST(sum(CAST(round(avg_weekly_revenue * 1000) AS BIGINT)) AS DOUBLE) / 1000e0', 0)}
+                   {half_up('CAST(sum(CAST(round(avg_weekly_revenue * 10000) AS BIGINT)) AS DOUBLE) / 10000e0', 0)}
                        AS total_revenue_inr,
                    {half_up(_exact_avg('rps_score'), 3)} AS avg_rps,
                    CAST(sum(stockout_risk_flag) AS BIGINT) AS stockout_risk_count,
@@ -501,6 +501,8 @@ def oracle_sql() -> dict[str, str]:
         "mart_delete_matched": _with("unmatched", f"SELECT * REPLACE ({_DAY}) FROM unmatched"),
         "mart_upsert": _with("unmatched", f"""
             SELECT * REPLACE ({_DAY}) FROM unmatched UNION ALL SELECT * REPLACE ({_DAY}) FROM staged"""),
+        "mart_upsert_partitions": _with("unmatched", f"""
+            SELECT * REPLACE ({_DAY}) FROM unmatched UNION ALL SELECT * REPLACE ({_DAY}) FROM staged"""),
         "mart_rejects": _with("kpi", """
             SELECT retailer_id, week, state, concat_ws('; ', no_district, long_week) AS reasons
             FROM (SELECT retailer_id, state,

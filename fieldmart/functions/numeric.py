@@ -2,7 +2,8 @@
 
 Sums and averages over groups run on integers (money in cents, scores in
 ten-thousandths) and are scaled back once, because a floating sum depends on the
-order in which tasks deliver their rows.
+order in which tasks deliver their rows.  A group total beyond the range of a
+bigint raises; it never wraps.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def scaled(value: Column, digits: int) -> Column:
     return F.round(value * F.lit(10**digits)).cast("bigint")
 
 
-def exact_sum(value: Column, digits: int = 2) -> Column:
+def exact_sum(value: Column, digits: int = 4) -> Column:
     """Order-independent sum of values known to ``digits`` decimals."""
     return F.sum(scaled(value, digits)) / F.lit(float(10**digits))
 

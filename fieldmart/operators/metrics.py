@@ -57,7 +57,7 @@ def rollup(df: DataFrame, width: str, keys: list[str], ts: str = "ts", value: st
         .agg(
             F.count(F.lit(1)).alias("n"),
             exact_sum(F.col(value)).alias("sum_value"),
-            exact_avg(F.col(value), 2).alias("avg_value"),
+            exact_avg(F.col(value)).alias("avg_value"),
         )
         .select(F.col("window.start").alias("window_start"), *keys, "n", "sum_value", "avg_value")
     )

@@ -30,50 +30,56 @@ DRS_WEIGHTS = {
 }
 
 
-def extremes(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Struct column ``min_<c>``, ``max_<c>`` per column, as one scalar subquery."""
+BOUNDS = "_bounds"
+
+
+def with_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add ``_bounds``, a struct of ``min_<c>`` and ``max_<c>`` per column.
+
+    The subquery appears once in the plan, however many scores read its fields.
+    """
     parts = []
     for name in columns:
         value = F.col(name).cast("double")
         parts += [F.min(value).alias(f"min_{name}"), F.max(value).alias(f"max_{name}")]
-    return df.agg(F.struct(*parts).alias("extremes")).scalar()
+    return df.withColumn(BOUNDS, df.agg(F.struct(*parts).alias("extremes")).scalar())
 
 
-def _filled_max(bounds: Column, name: str) -> Column:
+def _filled_max(name: str) -> Column:
     """The maximum, with NULL and 0 both read as 1."""
-    return F.coalesce(F.nullif(bounds[f"max_{name}"], F.lit(0.0)), F.lit(1.0))
+    return F.coalesce(F.nullif(F.col(f"{BOUNDS}.max_{name}"), F.lit(0.0)), F.lit(1.0))
 
 
-def scaled_to_unit(bounds: Column, name: str) -> Column:
+def scaled_to_unit(name: str) -> Column:
     """(x - min) / (max - min); a missing minimum is 0, a zero span is 1."""
-    low = F.coalesce(bounds[f"min_{name}"], F.lit(0.0))
-    span = _filled_max(bounds, name) - low
+    low = F.coalesce(F.col(f"{BOUNDS}.min_{name}"), F.lit(0.0))
+    span = _filled_max(name) - low
     return (F.col(name) - low) / F.coalesce(F.nullif(span, F.lit(0.0)), F.lit(1.0))
 
 
 def min_max_norm(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add min-max normalised columns, given as ``{source: alias}``, in one pass."""
-    bounds = extremes(df, list(columns))
-    return df.withColumns({alias: scaled_to_unit(bounds, c) for c, alias in columns.items()})
+    scaled = {alias: scaled_to_unit(name) for name, alias in columns.items()}
+    return with_extremes(df, list(columns)).withColumns(scaled).drop(BOUNDS)
 
 
 def retailer_priority(df: DataFrame) -> DataFrame:
     """``rps_score``: weighted, min-max normalised visit priority in [0, 1]."""
     flag = "stockout_risk_flag"
-    bounds = extremes(df, [c for c in RPS_WEIGHTS if c != flag])
     terms = [
-        (weight, F.col(name).cast("double") if name == flag else scaled_to_unit(bounds, name))
+        (weight, F.col(name).cast("double") if name == flag else scaled_to_unit(name))
         for name, weight in RPS_WEIGHTS.items()
     ]
-    return df.withColumn("rps_score", F.round(weighted_sum(terms), 4))
+    scored = with_extremes(df, [c for c in RPS_WEIGHTS if c != flag])
+    return scored.withColumn("rps_score", F.round(weighted_sum(terms), 4)).drop(BOUNDS)
 
 
 def district_risk(df: DataFrame) -> DataFrame:
     """``drs_score``: weighted crop-risk score; pest alerts are scaled by their maximum."""
     pest = "total_pest_alerts"
-    bounds = extremes(df, [pest])
     terms = [
-        (weight, F.col(name) / _filled_max(bounds, name) if name == pest else F.col(name).cast("double"))
+        (weight, F.col(name) / _filled_max(name) if name == pest else F.col(name).cast("double"))
         for name, weight in DRS_WEIGHTS.items()
     ]
-    return df.withColumn("drs_score", F.round(weighted_sum(terms), 4))
+    scored = with_extremes(df, [pest])
+    return scored.withColumn("drs_score", F.round(weighted_sum(terms), 4)).drop(BOUNDS)

@@ -111,5 +111,5 @@ def write_gold(df: DataFrame, table: str, path: str) -> dict[str, int]:
     """Write a Gold table by state and day; its summary comes from the same job."""
     seen = Observation()
     observed = df.observe(seen, *summary_columns(table))
-    write_partitioned(observed, path, GOLD_PARTITIONS)
+    write_partitioned(observed, path, GOLD_PARTITIONS, replace="all")
     return dict(seen.get)

@@ -13,6 +13,7 @@ from fieldmart.operators.keys import dense_key
 from fieldmart.operators.shaping import narrow
 from fieldmart.operators.upsert import upsert
 from fieldmart.sources import lake
+from fieldmart.sources.staging import stage
 
 
 def to_fact(gold: DataFrame, table: str, loaded_at: Column | None = None) -> DataFrame:
@@ -68,3 +69,26 @@ def apply_upsert(spark: SparkSession, staging: DataFrame, path: str, keys=schema
     current = lake.read_version(spark, path)
     merged = staging if current is None else upsert(current, staging, keys)
     return lake.write_version(merged, path)
+
+
+def upsert_partitions(
+    spark: SparkSession, staging: DataFrame, path: str, keys=schemas.UPSERT_KEYS, partition_by: str = "week"
+) -> None:
+    """Upsert into a table partitioned by a column of the key, touching few folders.
+
+    A staged key can only match in its own partition, so just the partitions named
+    in staging are read, merged and replaced; the rest of the table is never opened.
+    The merge is staged before it replaces what it was read from, and repeating it
+    after a failure gives the same table.
+    """
+    if partition_by not in keys:
+        raise ValueError(f"{partition_by} is not part of the key {keys}")
+    current = lake.read_optional(spark, path, staging.schema)
+    if current is None:
+        lake.write_partitioned(staging, path, [partition_by])
+        return
+    # One value per partition folder of the increment: small by construction.
+    named = [row[0] for row in staging.select(partition_by).distinct().collect()]
+    touched = current.filter(F.col(partition_by).isin(named))
+    merged = stage(upsert(touched, staging, keys), "upsert")
+    lake.write_partitioned(merged, path, [partition_by])

@@ -64,7 +64,7 @@ def revenue_trend(kpi: DataFrame, as_of, days: int = 30) -> DataFrame:
         .groupBy("state", "week")
         .agg(
             F.count_distinct("retailer_id").alias("active_retailers"),
-            F.round(exact_sum(F.col("avg_weekly_revenue"), 3), 0).alias("total_revenue_inr"),
+            F.round(exact_sum(F.col("avg_weekly_revenue")), 0).alias("total_revenue_inr"),
             F.round(exact_avg(F.col("rps_score")), 3).alias("avg_rps"),
             F.sum("stockout_risk_flag").alias("stockout_risk_count"),
             F.count_if(F.col("visit_urgency") == "URGENT").alias("urgent_visits"),

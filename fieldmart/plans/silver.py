@@ -129,6 +129,6 @@ def refine(spark: SparkSession, bronze: str, silver: str, reports: str, run_time
         seen = Observation()
         clean = with_default(keep_latest(frame, keys), "ingestion_date", F.current_date())
         clean = clean.observe(seen, F.count(F.lit(1)).alias("rows"))
-        write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"])
+        write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"], replace="all")
         rows[table] = seen.get["rows"]
     return rows

@@ -9,6 +9,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A small shuffle may still open hundreds of partition folders on write, so it
+    # keeps all cores busy; large shuffles never come near this floor.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot join partitions even where that costs one more exchange: a
     # single district or retailer may hold a third of the rows.

@@ -27,21 +27,21 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | None =
         raise
 
 
-def write_partitioned(
-    df: DataFrame, path: str, partition_by: Sequence[str], sort_by: Sequence[str] = ()
-) -> None:
-    """Overwrite only the partitions ``df`` has rows for; other days stay.
+def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], replace: str = "touched") -> None:
+    """Overwrite the ``touched`` partitions, those ``df`` has rows for, or ``all``.
+
+    A daily increment replaces what it touches and leaves other days alone.  A table
+    rebuilt from its whole input replaces all, or a partition whose last row moved
+    elsewhere would keep it.
 
     The rebalance hint gathers a partition's rows into few files, and adaptive
     execution cuts an oversized partition into several tasks, so a state with a
     third of all rows is not written by a single task.
     """
-    rows = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    if sort_by:
-        rows = rows.sortWithinPartitions(*partition_by, *sort_by)
     (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", *[F.col(c) for c in partition_by])
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", {"touched": "dynamic", "all": "static"}[replace])
         .partitionBy(*partition_by)
         .parquet(path)
     )

@@ -111,6 +111,8 @@ def alarms(
 def append_parquet(
     rows: DataFrame, path: str, checkpoint: str, buffer_seconds: int | None = None
 ) -> StreamingQuery:
+    """Append finished rows to Parquet; state, if any, is kept on disk."""
+    use_disk_backed_state(rows.sparkSession)
     writer = rows.writeStream.format("parquet").outputMode("append").option("path", path)
     return _start(writer, checkpoint, buffer_seconds)
 
