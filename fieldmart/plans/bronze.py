@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmart.schemas import RAW_DATASETS
 from fieldmart.sources import csv
-from fieldmart.sources.lake import write_partitioned
+from fieldmart.sources.lake import row_count, write_partitioned
 
 
 def with_ingest_metadata(
@@ -60,10 +60,8 @@ def ingest(
     """
     rows = {}
     for dataset, folders in datasets(spark, raw).items():
-        seen = Observation()
         frame = scan_dataset(spark, raw, dataset, schemas.get(dataset), folders)
         frame = with_ingest_metadata(frame, None, ingested_at)
-        frame = frame.observe(seen, F.count(F.lit(1)).alias("rows"))
-        write_partitioned(frame, f"{bronze}/{dataset}", ["ingestion_date"])
-        rows[dataset] = seen.get["rows"]
+        written = write_partitioned(frame, f"{bronze}/{dataset}", ["ingestion_date"], measures=[row_count()])
+        rows[dataset] = written["rows"]
     return rows

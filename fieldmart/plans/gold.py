@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmart.functions import classify
@@ -11,7 +11,7 @@ from fieldmart.operators import scores, windows
 from fieldmart.operators.forecast import project_demand
 from fieldmart.operators.shaping import project, with_default
 from fieldmart.schemas import GOLD_PARTITIONS, GOLD_TABLES
-from fieldmart.sources.lake import write_partitioned
+from fieldmart.sources.lake import row_count, write_partitioned
 
 
 def retailer_kpi(silver: DataFrame, strict: bool = False) -> DataFrame:
@@ -104,12 +104,9 @@ def summary_columns(table: str) -> list[Column]:
         "demand_forecast": {"spikes": "demand_category = 'SPIKE'", "stockout": "stockout_risk_flag = 1"},
     }[table]
     counts = [F.count_if(F.expr(test)).alias(name) for name, test in headline.items()]
-    return [F.count(F.lit(1)).alias("rows"), *counts]
+    return [row_count(), *counts]
 
 
 def write_gold(df: DataFrame, table: str, path: str) -> dict[str, int]:
     """Write a Gold table by state and day; its summary comes from the same job."""
-    seen = Observation()
-    observed = df.observe(seen, *summary_columns(table))
-    write_partitioned(observed, path, GOLD_PARTITIONS, replace="all")
-    return dict(seen.get)
+    return write_partitioned(df, path, GOLD_PARTITIONS, "all", summary_columns(table))

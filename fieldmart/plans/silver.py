@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmart.functions import classify
 from fieldmart.operators import dq
 from fieldmart.operators.shaping import typed, with_default
 from fieldmart.operators.windows import keep_latest
-from fieldmart.sources.lake import read_optional, write_partitioned
+from fieldmart.sources.lake import read_optional, row_count, write_partitioned
 
 # One row per entity and period, so that lags and rolling means have a history.
 RETAILER_KEYS = ("retailer_id", "week")
@@ -126,9 +126,7 @@ def refine(spark: SparkSession, bronze: str, silver: str, reports: str, run_time
         document = dq.report(dq.checked(frame, rules(frame)), table, run_time)
         document.coalesce(1).write.mode("append").partitionBy("table").json(reports)
 
-        seen = Observation()
         clean = with_default(keep_latest(frame, keys), "ingestion_date", F.current_date())
-        clean = clean.observe(seen, F.count(F.lit(1)).alias("rows"))
-        write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"], replace="all")
-        rows[table] = seen.get["rows"]
+        written = write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"], "all", [row_count()])
+        rows[table] = written["rows"]
     return rows

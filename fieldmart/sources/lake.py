@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,13 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | None =
         raise
 
 
-def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], replace: str = "touched") -> None:
+def write_partitioned(
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str],
+    replace: str = "touched",
+    measures: Sequence[Column] = (),
+) -> dict[str, int]:
     """Overwrite the ``touched`` partitions, those ``df`` has rows for, or ``all``.
 
     A daily increment replaces what it touches and leaves other days alone.  A table
@@ -37,14 +43,25 @@ def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], rep
     The rebalance hint gathers a partition's rows into few files, and adaptive
     execution cuts an oversized partition into several tasks, so a state with a
     third of all rows is not written by a single task.
+
+    ``measures`` are aggregates observed by the write itself.  They are taken in the
+    writing stage, whose tasks count once even when an executor is lost.
     """
+    rows = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    seen = Observation()
+    if measures:
+        rows = rows.observe(seen, *measures)
     (
-        df.hint("rebalance", *[F.col(c) for c in partition_by])
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", {"touched": "dynamic", "all": "static"}[replace])
         .partitionBy(*partition_by)
         .parquet(path)
     )
+    return dict(seen.get) if measures else {}
+
+
+def row_count() -> Column:
+    return F.count(F.lit(1)).alias("rows")
 
 
 def latest_partition(df: DataFrame, column: str = "ingestion_date") -> DataFrame:

@@ -87,7 +87,7 @@ def test_buffer_interval_keeps_the_query_running(spark, tmp_path):
     landing = str(tmp_path / "landing")
     events(spark, [(1, "2024-01-01 00:00:00", 1.0, 0)]).write.parquet(landing)
     rows = jobs.read_files(spark, landing, spark.read.parquet(landing).schema)
-    running = jobs.append_parquet(rows, str(tmp_path / "out"), str(tmp_path / "offsets"), buffer_seconds=300)
+    running = jobs.append_parquet(rows, str(tmp_path / "out"), str(tmp_path / "offsets"), buffer_seconds=1)
     try:
         running.processAllAvailable()
         assert running.isActive and spark.read.parquet(str(tmp_path / "out")).count() == 1
