@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldmart.catalogue import views
 from fieldmart.plans import gold, silver
-from fieldmart.schemas import GOLD_TABLES
+from fieldmart.schemas import GOLD_PARTITIONS, GOLD_TABLES
 from fieldmart.session import configure
+from fieldmart.sources import catalog
 from fieldmart.sources.staging import fresh_path
 
 _written: dict[tuple[str, str, str], str] = {}
@@ -71,7 +72,28 @@ def gold_path(spark: SparkSession, sf_dir: str, table: str) -> str:
     )
 
 
+def _database(path: str) -> str:
+    return "fieldmart_" + path.rsplit("-", 1)[1]
+
+
+def gold_table(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """Name of the external catalog table over the written Gold table."""
+    location = gold_path(spark, sf_dir, table)
+
+    def register(path: str) -> None:
+        catalog.create_database(spark, _database(path), path)
+        catalog.register_external(
+            spark, f"{_database(path)}.{table}", GOLD_TABLES[table], GOLD_PARTITIONS, location
+        )
+
+    path = _once(spark, sf_dir, f"catalog_{table}", register)
+    return f"{_database(path)}.{table}"
+
+
 def stored_gold(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The Gold table as written, partitioned by state and day."""
-    path = gold_path(spark, sf_dir, table)
-    return spark.read.schema(GOLD_TABLES[table]).parquet(path)
+    """The written Gold table, read through the catalog.
+
+    The catalog knows the (state, day) partitions, so a query on one day lists only
+    that day's folders however many the table has.
+    """
+    return spark.table(gold_table(spark, sf_dir, table))

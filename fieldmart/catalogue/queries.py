@@ -354,7 +354,8 @@ def q6_cross_layer_priority(spark, sf_dir):
 @query
 def district_avg_risk(spark, sf_dir):
     """Mean risk per district on the newest day."""
-    return reports.district_average_risk(layers.stored_gold(spark, sf_dir, "district_risk"))
+    newest = catalog.newest_partition(spark, layers.gold_table(spark, sf_dir, "district_risk"), "ingestion_date")
+    return reports.district_average_risk(layers.stored_gold(spark, sf_dir, "district_risk"), newest)
 
 
 @query

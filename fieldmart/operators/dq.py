@@ -160,6 +160,15 @@ def referential(df: DataFrame, columns: Sequence[str], master: DataFrame) -> Dat
     return counts.select(F.inline(F.array(entry)))
 
 
+def with_results(checks: DataFrame, results: DataFrame) -> DataFrame:
+    """``checked`` output with further rule results, such as ``referential`` ones, added.
+
+    Both sides are a handful of rows that summarise a table.
+    """
+    extra = results.agg(F.collect_list(F.struct(*RESULT_COLUMNS)).alias("extra")).scalar()
+    return checks.select(F.concat("rules", extra).alias("rules"))
+
+
 def report(checks: DataFrame, table: str, run_time: Column | None = None) -> DataFrame:
     """The report document of one table, from ``checked`` output: one row."""
     moment = F.current_timestamp() if run_time is None else run_time

@@ -20,6 +20,8 @@ def run(
     triggered_by: str = "manual",
     run_id: str | None = None,
     execution_arn: str | None = None,
+    max_age_hours: int | None = None,
+    district_master: DataFrame | None = None,
 ) -> dict[str, dict[str, int]]:
     """Ingest ``raw`` and rebuild the lake; a run-log row is written either way.
 
@@ -33,7 +35,8 @@ def run(
     try:
         counts["bronze"] = bronze.ingest(spark, raw, f"{lake}/bronze")
         counts["silver"] = silver.refine(
-            spark, f"{lake}/bronze", f"{lake}/silver", f"{lake}/dq_reports/run_id={run_id}"
+            spark, f"{lake}/bronze", f"{lake}/silver", f"{lake}/dq_reports/run_id={run_id}",
+            max_age_hours=max_age_hours, district_master=district_master,
         )
         counts["gold"] = build_gold(spark, lake)
         status = "SUCCESS"

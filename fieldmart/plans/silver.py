@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmart.functions import classify
@@ -103,11 +105,24 @@ def demand_rules(df: DataFrame, keys=("sku_id", "district", "retailer_id", "week
     return [dq.not_null(df, ["sku_id", "district", "week"]), dq.unique(df, keys)]
 
 
-def refine(spark: SparkSession, bronze: str, silver: str, reports: str, run_time=None) -> dict[str, int]:
+DEFAULT_KEYS = {"retailer": RETAILER_KEYS, "district": DISTRICT_KEYS, "demand": DEMAND_KEYS}
+
+
+def refine(
+    spark: SparkSession,
+    bronze: str,
+    silver: str,
+    reports: str,
+    run_time: Column | None = None,
+    keys: Mapping[str, Sequence[str]] = DEFAULT_KEYS,
+    max_age_hours: int | None = None,
+    district_master: DataFrame | None = None,
+) -> dict[str, int]:
     """Build every Silver table whose Bronze input exists; rows per table.
 
     Per table: one pass for all rules, on the rows before deduplication, and one
-    write whose row count is observed on the way.
+    write whose row count is observed on the way.  ``max_age_hours`` adds the
+    freshness rule, ``district_master`` the referential one.
     """
     retailers = read_optional(spark, f"{bronze}/features_retailers")
     districts = read_optional(spark, f"{bronze}/features_district_risk")
@@ -115,18 +130,24 @@ def refine(spark: SparkSession, bronze: str, silver: str, reports: str, run_time
 
     inputs = {}
     if retailers is not None:
-        inputs["retailer"] = (type_retailers(retailers), retailer_rules, RETAILER_KEYS)
+        inputs["retailer"] = (type_retailers(retailers), retailer_rules)
     if districts is not None:
-        inputs["district"] = (type_districts(districts), district_rules, DISTRICT_KEYS)
+        inputs["district"] = (type_districts(districts), district_rules)
     if retailers is not None and inventory is not None:
-        inputs["demand"] = (type_demand(enrich_inventory(inventory, retailers)), demand_rules, DEMAND_KEYS)
+        inputs["demand"] = (type_demand(enrich_inventory(inventory, retailers)), demand_rules)
 
     rows = {}
-    for table, (frame, rules, keys) in inputs.items():
-        document = dq.report(dq.checked(frame, rules(frame)), table, run_time)
+    for table, (frame, suite) in inputs.items():
+        rules = suite(frame)
+        if max_age_hours is not None:
+            rules.append(dq.freshness("ingestion_timestamp", max_age_hours, run_time))
+        checks = dq.checked(frame, rules)
+        if district_master is not None:
+            checks = dq.with_results(checks, dq.referential(frame, ["district"], district_master))
+        document = dq.report(checks, table, run_time)
         document.coalesce(1).write.mode("append").partitionBy("table").json(reports)
 
-        clean = with_default(keep_latest(frame, keys), "ingestion_date", F.current_date())
+        clean = with_default(keep_latest(frame, keys[table]), "ingestion_date", F.current_date())
         written = write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"], "all", [row_count()])
         rows[table] = written["rows"]
     return rows

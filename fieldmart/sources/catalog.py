@@ -28,6 +28,12 @@ def register_external(
     return spark.table(table)
 
 
+def newest_partition(spark: SparkSession, table: str, column: str) -> str | None:
+    """The greatest value of a partition column, from the catalog: no file is opened."""
+    value = F.regexp_extract("partition", rf"(?:^|/){column}=([^/]*)", 1)
+    return spark.sql(f"SHOW PARTITIONS {table}").agg(F.max(value)).first()[0]
+
+
 def add_new_columns(spark: SparkSession, table: str, observed: T.StructType) -> list[str]:
     """Add columns the files gained since the table was created; nothing is dropped."""
     known = set(spark.table(table).columns)

@@ -116,6 +116,7 @@ def test_external_table_sees_rows_once_partitions_are_loaded(spark, tmp_path):
     assert table.count() == 2
     plan = table.filter("ingestion_date = '2024-01-02'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ingestion_date" in plan
+    assert catalog.newest_partition(spark, "cat_test.t", "ingestion_date") == "2024-01-02"
     wider = frame.withColumn("extra", F.lit(1)).schema
     assert catalog.add_new_columns(spark, "cat_test.t", wider) == ["extra"]
     assert catalog.add_new_columns(spark, "cat_test.t", wider) == []

@@ -95,6 +95,20 @@ def test_whole_run(spark, raw, tmp_path):
     assert entry["dq_failures"] == 3 and entry["triggered_by"] == "s3_event"
 
 
+def test_freshness_and_referential_rules_join_the_suites(spark, raw, tmp_path):
+    lake = str(tmp_path / "lake")
+    master = spark.createDataFrame([("Pune",), ("Surat",), ("Nashik",), ("Jaipur",)], "district string")
+    medallion.run(spark, raw, lake, run_id="r1", max_age_hours=48, district_master=master)
+    rules = {
+        (r["table"], r["rule"]): r["fail_count"]
+        for r in spark.read.json(f"{lake}/dq_reports/run_id=r1").selectExpr("table", "inline(rules)").collect()
+    }
+    assert rules["retailer", "FRESHNESS(ingestion_timestamp, 48h)"] == 0
+    assert rules["retailer", "REFERENTIAL(district)"] == 1 and rules["district", "REFERENTIAL(district)"] == 1
+    assert rules["demand", "REFERENTIAL(district)"] == 0
+    assert len(rules) == 16
+
+
 def test_a_second_run_keeps_one_row_per_key(spark, raw, tmp_path):
     lake = str(tmp_path / "lake")
     medallion.run(spark, raw, lake)
