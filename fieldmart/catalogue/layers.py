@@ -9,24 +9,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from fieldmart.catalogue import views
 from fieldmart.plans import gold, silver
 from fieldmart.schemas import GOLD_PARTITIONS, GOLD_TABLES
 from fieldmart.session import configure
-from fieldmart.sources import catalog
+from fieldmart.sources import catalog, files
 from fieldmart.sources.staging import fresh_path
 
-_written: dict[tuple[str, str, str], str] = {}
+Key = tuple[str, str, str, str]
+
+_written: dict[Key, str] = {}
+_schemas: dict[Key, T.StructType] = {}
 
 
 def forget() -> None:
     """Build every table anew on next use."""
     _written.clear()
+    _schemas.clear()
+
+
+def _key(spark: SparkSession, sf_dir: str, name: str) -> Key:
+    """A table belongs to one application and one state of its input files."""
+    return spark.sparkContext.applicationId, sf_dir, files.fingerprint(spark, sf_dir), name
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = _key(spark, sf_dir, name)
     if key not in _written:
         path = fresh_path(configure(spark), name)
         write(path)
@@ -34,26 +44,39 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
     return _written[key]
 
 
+def _silver(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The Silver table ``name``, written by ``build`` on first use."""
+    key = _key(spark, sf_dir, name)
+
+    def write(path: str) -> None:
+        frame = build()
+        frame.write.parquet(path)
+        _schemas[key] = frame.schema
+
+    path = _once(spark, sf_dir, name, write)
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def silver_retailers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = silver.type_retailers(views.retailer_weeks(spark, sf_dir))
-    path = _once(spark, sf_dir, "silver-retailer", lambda p: frame.write.parquet(p))
-    return spark.read.schema(frame.schema).parquet(path)
+    return _silver(
+        spark, sf_dir, "silver_retailer", lambda: silver.type_retailers(views.retailer_weeks(spark, sf_dir))
+    )
 
 
 def silver_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = silver.type_districts(views.district_days(spark, sf_dir))
-    path = _once(spark, sf_dir, "silver-district", lambda p: frame.write.parquet(p))
-    return spark.read.schema(frame.schema).parquet(path)
+    return _silver(
+        spark, sf_dir, "silver_district", lambda: silver.type_districts(views.district_days(spark, sf_dir))
+    )
 
 
 def silver_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = silver.type_demand(
-        silver.enrich_inventory(views.inventory(spark, sf_dir), views.retailers(spark, sf_dir))
-    )
-    frame = frame.withColumn("ingestion_date", frame["week"].cast("date"))
-    frame = frame.withColumn("ingestion_timestamp", frame["ingestion_date"].cast("timestamp"))
-    path = _once(spark, sf_dir, "silver-demand", lambda p: frame.write.parquet(p))
-    return spark.read.schema(frame.schema).parquet(path)
+    def build() -> DataFrame:
+        stock = silver.enrich_inventory(views.inventory(spark, sf_dir), views.retailers(spark, sf_dir))
+        frame = silver.type_demand(stock)
+        frame = frame.withColumn("ingestion_date", frame["week"].cast("date"))
+        return frame.withColumn("ingestion_timestamp", frame["ingestion_date"].cast("timestamp"))
+
+    return _silver(spark, sf_dir, "silver_demand", build)
 
 
 def computed_gold(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -22,3 +22,10 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(target):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory())
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Changes when an entry directly under ``path`` is added, removed or rewritten."""
+    target, fs = _path(spark, path)
+    entries = [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(target)]
+    return str(hash(tuple(sorted(entries))))
