@@ -30,8 +30,11 @@ def first_existing(df: DataFrame, *names: str) -> str:
     raise MissingColumns(f"none of {', '.join(names)} is present")
 
 
-def typed(df: DataFrame, types: Mapping[str, str], aliases: Mapping[str, Sequence[str]] = {}) -> DataFrame:
+def typed(
+    df: DataFrame, types: Mapping[str, str], aliases: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
     """Cast columns to ``types``; ``aliases`` lists alternative raw names, best first."""
+    aliases = aliases or {}
     source_types = dict(df.dtypes)
     casts: dict[str, Column] = {}
     for name, target in types.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +39,11 @@ def datasets(spark: SparkSession, raw: str) -> dict[str, list[str]]:
 
 
 def scan_dataset(
-    spark: SparkSession, raw: str, dataset: str, schema: T.StructType | None, folders: list[str] = []
+    spark: SparkSession, raw: str, dataset: str, schema: T.StructType | None, folders: Sequence[str] = ()
 ) -> DataFrame:
     """All files of one dataset anywhere under ``raw``."""
     pattern = "part-*.csv" if folders else f"{dataset}.csv"
-    return csv.read(spark, folders or raw, schema, recursiveFileLookup=True, pathGlobFilter=pattern)
+    return csv.read(spark, list(folders) or raw, schema, recursiveFileLookup=True, pathGlobFilter=pattern)
 
 
 def ingest(
@@ -62,6 +62,9 @@ def ingest(
     for dataset, folders in datasets(spark, raw).items():
         frame = scan_dataset(spark, raw, dataset, schemas.get(dataset), folders)
         frame = with_ingest_metadata(frame, None, ingested_at)
-        written = write_partitioned(frame, f"{bronze}/{dataset}", ["ingestion_date"], measures=[row_count()])
+        # All rows belong to today's partition, so each task writes its own file.
+        written = write_partitioned(
+            frame, f"{bronze}/{dataset}", ["ingestion_date"], measures=[row_count()], gather=False
+        )
         rows[dataset] = written["rows"]
     return rows

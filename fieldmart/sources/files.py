@@ -24,6 +24,12 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory())
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove the folder ``path`` and what it holds."""
+    target, fs = _path(spark, path)
+    fs.delete(target, True)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Changes when an entry directly under ``path`` is added, removed or rewritten."""
     target, fs = _path(spark, path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -33,6 +33,7 @@ def write_partitioned(
     partition_by: Sequence[str],
     replace: str = "touched",
     measures: Sequence[Column] = (),
+    gather: bool = True,
 ) -> dict[str, int]:
     """Overwrite the ``touched`` partitions, those ``df`` has rows for, or ``all``.
 
@@ -40,14 +41,15 @@ def write_partitioned(
     rebuilt from its whole input replaces all, or a partition whose last row moved
     elsewhere would keep it.
 
-    The rebalance hint gathers a partition's rows into few files, and adaptive
-    execution cuts an oversized partition into several tasks, so a state with a
-    third of all rows is not written by a single task.
+    With ``gather`` one shuffle brings a partition's rows into few files (a rebalance
+    hint), and adaptive execution cuts an oversized partition into several tasks, so
+    a state with a third of all rows is not written by a single task.  Rows that all
+    belong to one partition need no gathering.
 
     ``measures`` are aggregates observed by the write itself.  They are taken in the
     writing stage, whose tasks count once even when an executor is lost.
     """
-    rows = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    rows = df.hint("rebalance", *[F.col(c) for c in partition_by]) if gather else df
     seen = Observation()
     if measures:
         rows = rows.observe(seen, *measures)
@@ -70,47 +72,52 @@ def latest_partition(df: DataFrame, column: str = "ingestion_date") -> DataFrame
     return df.filter(F.col(column) == newest)
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed versions of a versioned table, oldest first.
+def _version_folders(spark: SparkSession, path: str) -> list[int]:
+    """Version numbers with a folder, newest first, committed or not."""
+    names = [n for n in files.subfolders(spark, path) if n.startswith("v") and n[1:].isdigit()]
+    return sorted((int(name[1:]) for name in names), reverse=True)
+
+
+def _version_path(path: str, version: int) -> str:
+    return f"{path}/v{version:010d}"
+
+
+def versions(spark: SparkSession, path: str) -> Iterator[int]:
+    """Committed versions of a versioned table, newest first.
 
     A version folder counts once its writer left the ``_SUCCESS`` marker, so a
     failed or running write is never read.
     """
-    found = []
-    for name in files.subfolders(spark, path):
-        if name.startswith("v") and name[1:].isdigit():
-            if files.exists(spark, f"{path}/{name}/_SUCCESS"):
-                found.append(int(name[1:]))
-    return sorted(found)
-
-
-def _next_version(spark: SparkSession, path: str) -> int:
-    used = [int(n[1:]) for n in files.subfolders(spark, path) if n.startswith("v") and n[1:].isdigit()]
-    return max(used, default=0) + 1
+    for version in _version_folders(spark, path):
+        if files.exists(spark, f"{_version_path(path, version)}/_SUCCESS"):
+            yield version
 
 
 def read_version(
     spark: SparkSession, path: str, version: int | None = None, schema: T.StructType | None = None
 ) -> DataFrame | None:
     """One version of the table, the newest by default; None before the first write."""
-    known = versions(spark, path)
-    if not known:
+    chosen = next(versions(spark, path), None) if version is None else version
+    if chosen is None:
         return None
-    chosen = known[-1] if version is None else version
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(f"{path}/v{chosen:010d}")
+    return reader.parquet(_version_path(path, chosen))
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Delete all but the ``keep`` newest committed versions; readers of those stay safe."""
+    old = list(versions(spark, path))[max(keep, 1):]
+    for version in old:
+        files.delete(spark, _version_path(path, version))
+    return old
 
 
-def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
+def write_version(df: DataFrame, path: str) -> int:
     """Write ``df`` as the next version and return its number.
 
     The version being read is left untouched, so a frame may be derived from the
     table it replaces, and a failed write changes nothing for readers.
     """
-    version = _next_version(df.sparkSession, path)
-    rows = df.hint("rebalance", *[F.col(c) for c in partition_by])
-    writer = rows.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{path}/v{version:010d}")
+    version = next(iter(_version_folders(df.sparkSession, path)), 0) + 1
+    df.write.mode("errorifexists").parquet(_version_path(path, version))
     return version

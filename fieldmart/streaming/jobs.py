@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,10 +120,13 @@ def append_parquet(
 
 def _merge_batch(path: str, keys: Sequence[str], order_by: str) -> Callable[[DataFrame, int], None]:
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        staged = keep_latest(batch, keys, order_by)
-        current = lake.read_version(spark, path)
-        lake.write_version(staged if current is None else upsert(current, staged, keys), path)
+        # The merge reads the batch twice, for its keys and for its rows.
+        staged = keep_latest(batch, keys, order_by).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            current = lake.read_version(batch.sparkSession, path)
+            lake.write_version(staged if current is None else upsert(current, staged, keys), path)
+        finally:
+            staged.unpersist()
 
     return merge
 

@@ -51,10 +51,12 @@ def test_versions_count_once_committed(spark, tmp_path):
     # A table may be derived from the version it replaces.
     assert lake.write_version(lake.read_version(spark, path).filter("id > 0"), path) == 2
     os.makedirs(f"{path}/v0000000003")  # a writer that died before its commit
-    assert lake.versions(spark, path) == [1, 2]
+    assert list(lake.versions(spark, path)) == [2, 1]
     assert lake.read_version(spark, path).count() == 2
     assert lake.read_version(spark, path, 1).count() == 3
     assert lake.write_version(spark.range(1), path) == 4
+    assert lake.drop_old_versions(spark, path, keep=2) == [1]
+    assert list(lake.versions(spark, path)) == [4, 2] and lake.read_version(spark, path).count() == 1
 
 
 FACT = "retailer_id string, week string, v int"
