@@ -7,6 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmart import schemas
 from fieldmart.operators.keys import dense_key
@@ -83,12 +84,18 @@ def upsert_partitions(
     """
     if partition_by not in keys:
         raise ValueError(f"{partition_by} is not part of the key {keys}")
-    current = lake.read_optional(spark, path, staging.schema)
-    if current is None:
+    stored = lake.read_optional(spark, path)
+    if stored is None:
         lake.write_partitioned(staging, path, [partition_by])
         return
+    # All stored columns survive; the folder names keep the type they were written with.
+    columns = [f for f in stored.schema.fields if f.name != partition_by]
+    current = spark.read.schema(T.StructType([*columns, staging.schema[partition_by]])).parquet(path)
     # One value per partition folder of the increment: small by construction.
     named = [row[0] for row in staging.select(partition_by).distinct().collect()]
-    touched = current.filter(F.col(partition_by).isin(named))
+    wanted = F.col(partition_by).isin([value for value in named if value is not None])
+    if None in named:  # rows without the key share a folder; they are kept
+        wanted = wanted | F.col(partition_by).isNull()
+    touched = current.filter(wanted)
     merged = stage(upsert(touched, staging, keys), "upsert")
     lake.write_partitioned(merged, path, [partition_by])

@@ -104,6 +104,24 @@ def test_partition_upsert_opens_only_staged_partitions(spark, tmp_path):
         mart.upsert_partitions(spark, spark.createDataFrame([("b", "w1", 2)], FACT), path, partition_by="v")
 
 
+def test_partition_upsert_keeps_columns_the_increment_lacks(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    first = spark.createDataFrame([("a", "01", 1, "x"), ("b", "01", 1, "y")], FACT + ", note string")
+    mart.upsert_partitions(spark, first, path)
+    mart.upsert_partitions(spark, spark.createDataFrame([("b", "01", 2)], FACT), path)
+    stored = spark.read.schema(FACT + ", note string").parquet(path)
+    got = {(r["retailer_id"], r["week"], r["v"], r["note"]) for r in stored.collect()}
+    assert got == {("a", "01", 1, "x"), ("b", "01", 2, None)}
+
+
+def test_partition_upsert_keeps_rows_without_a_key(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    mart.upsert_partitions(spark, spark.createDataFrame([("a", None, 1), ("b", "w1", 1)], FACT), path)
+    mart.upsert_partitions(spark, spark.createDataFrame([("a", None, 2)], FACT), path)
+    got = sorted((r["retailer_id"], r["v"]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 1), ("a", 2), ("b", 1)]
+
+
 def test_external_table_sees_rows_once_partitions_are_loaded(spark, tmp_path):
     path = str(tmp_path / "t")
     frame = days(spark, [("a", 1, "2024-01-01"), ("b", 1, "2024-01-02")])
