@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from fieldmart.functions.calendar import as_order_key
 from fieldmart.functions.numeric import safe_percent_change
+from fieldmart.sources.staging import stage
 
 
 def period_column(df: DataFrame, preferred: str) -> str:
@@ -77,6 +78,7 @@ def flag_top_k(
     score: str = "rps_score",
     k: int = 5,
     output: str = "top5_in_tehsil",
+    stage_cut_offs: bool = False,
 ) -> DataFrame:
     """1 where ``rank() over (group order by score desc) <= k``, else 0.
 
@@ -85,6 +87,9 @@ def flag_top_k(
     computed: k rows per group leave each map task (a window group limit), and the
     cut-offs, one row per group, are joined back.  No task sees a whole group, and
     adaptive execution splits a hot group on the join.
+
+    ``stage_cut_offs`` writes the cut-offs first.  Spark then plans the join from their
+    true size: below its broadcast limit the rows of ``df`` are not shuffled at all.
     """
     names = {g: f"_cut_{i}" for i, g in enumerate(group)}
     window = Window.partitionBy(*group).orderBy(F.col(score).desc_nulls_last())
@@ -95,6 +100,8 @@ def flag_top_k(
         .groupBy(*[F.col(g).alias(alias) for g, alias in names.items()])
         .agg(F.count(score).alias("_scored"), F.min(score).alias("_cut_off"))
     )
+    if stage_cut_offs:
+        cut_offs = stage(cut_offs, "cut-offs")
     match: Column = F.lit(True)
     for name, alias in names.items():
         match = match & F.col(name).eqNullSafe(F.col(alias))
@@ -106,10 +113,10 @@ def flag_top_k(
     )
 
 
-def flag_top5_in_tehsil(df: DataFrame) -> DataFrame:
+def flag_top5_in_tehsil(df: DataFrame, stage_cut_offs: bool = False) -> DataFrame:
     """Flag the five best scores per tehsil and week; equal scores share a rank."""
     period = [c for c in ("week", "ingestion_date") if c in df.columns][:1]
-    return flag_top_k(df, ["tehsil", *period])
+    return flag_top_k(df, ["tehsil", *period], stage_cut_offs=stage_cut_offs)
 
 
 def rolling_mean_rows(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,11 @@ from fieldmart.schemas import GOLD_PARTITIONS, GOLD_TABLES
 from fieldmart.sources.lake import row_count, write_partitioned
 
 
-def retailer_kpi(silver: DataFrame, strict: bool = False) -> DataFrame:
+def retailer_kpi(silver: DataFrame, strict: bool = False, stage_cut_offs: bool = False) -> DataFrame:
     """Priority score, revenue change, visit urgency and top-5 flag per retailer-week."""
     return (
         silver.transform(scores.retailer_priority)
-        .transform(windows.flag_top5_in_tehsil)
+        .transform(windows.flag_top5_in_tehsil, stage_cut_offs)
         .transform(windows.week_over_week_revenue)
         .withColumn("visit_urgency", classify.VISIT_URGENCY.column())
         .transform(project, GOLD_TABLES["retailer_kpi"].fieldNames(), strict)
@@ -63,7 +65,12 @@ def demand_series(silver: DataFrame) -> DataFrame:
 
 
 def demand_forecast(series: DataFrame, strict: bool = False) -> DataFrame:
-    """Moving average, slope, four forecasts, category and stockout flag per series-week."""
+    """Moving average, slope, four forecasts, category and stockout flag per series-week.
+
+    Without a stock column the stock counts as 0, so every positive forecast is flagged.
+    """
+    if "current_stock_qty" not in series.columns:
+        warnings.warn("no current_stock_qty: every positive forecast is flagged as a stockout", stacklevel=2)
     return (
         series.transform(with_default, "current_stock_qty", F.lit(0.0))
         .transform(windows.moving_average)

@@ -48,7 +48,7 @@ def run(
 def build_gold(spark: SparkSession, lake: str) -> dict[str, int]:
     """Every Gold table whose Silver input exists; rows per table."""
     plans = {
-        "retailer_kpi": ("retailer", gold.retailer_kpi),
+        "retailer_kpi": ("retailer", lambda df: gold.retailer_kpi(df, stage_cut_offs=True)),
         "district_risk": ("district", gold.district_risk),
         "demand_forecast": ("demand", lambda df: gold.demand_forecast(gold.demand_series(df))),
     }

@@ -7,7 +7,7 @@ tie-break and runs as a distributed take-ordered, not as a full sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmart.functions.numeric import exact_avg, exact_sum
@@ -21,8 +21,13 @@ def _on(df: DataFrame, as_of) -> DataFrame:
     return df.filter(F.col("ingestion_date") == F.lit(str(as_of)).cast("date"))
 
 
-def _since(as_of, days: int) -> Column:
-    return F.col("ingestion_date") >= F.date_sub(F.lit(str(as_of)).cast("date"), days)
+def _since(df: DataFrame, as_of, days: int) -> DataFrame:
+    """Rows of the ``days`` days before ``as_of`` and later; the newest day when None."""
+    if as_of is None:
+        newest = df.agg(F.max("ingestion_date").alias("newest")).scalar()
+    else:
+        newest = F.lit(str(as_of)).cast("date")
+    return df.filter(F.col("ingestion_date") >= F.date_sub(newest, days))
 
 
 def urgent_retailers(kpi: DataFrame, as_of=None, limit: int = 10) -> DataFrame:
@@ -57,10 +62,10 @@ def district_heatmap(risk: DataFrame, as_of=None) -> DataFrame:
     )
 
 
-def revenue_trend(kpi: DataFrame, as_of, days: int = 30) -> DataFrame:
+def revenue_trend(kpi: DataFrame, as_of=None, days: int = 30) -> DataFrame:
     """Revenue, scores and risk counts per state and week over the last days."""
     return (
-        kpi.filter(_since(as_of, days))
+        _since(kpi, as_of, days)
         .groupBy("state", "week")
         .agg(
             F.count_distinct("retailer_id").alias("active_retailers"),
@@ -93,11 +98,11 @@ def growing_demand(forecast: DataFrame, as_of=None, limit: int = 20) -> DataFram
     )
 
 
-def daily_health(kpi: DataFrame, as_of, days: int = 7) -> DataFrame:
+def daily_health(kpi: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     """Coverage, risk and score figures per ingestion day, newest first."""
     urgency = F.col("visit_urgency")
     return (
-        kpi.filter(_since(as_of, days))
+        _since(kpi, as_of, days)
         .groupBy("ingestion_date")
         .agg(
             F.count(F.lit(1)).alias("total_retailer_records"),

@@ -58,6 +58,12 @@ def test_top_k_limits_groups_before_the_shuffle_and_never_ranks_a_whole_group(sp
     assert " rank(" not in plan
 
 
+def test_staged_cut_offs_are_broadcast_so_the_rows_are_not_shuffled(spark, sf_dir):
+    scored = scores.retailer_priority(layers.silver_retailers(spark, sf_dir))
+    plan = plan_of(windows.flag_top5_in_tehsil(scored, stage_cut_offs=True))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_extremes_run_once(spark, sf_dir):
     plan = final_plan_of(layers.computed_gold(spark, sf_dir, "retailer_kpi"))
     executed = [line for line in plan.splitlines() if re.search(r"\bSubquery subquery#", line) and "Reused" not in line]

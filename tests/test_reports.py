@@ -40,6 +40,7 @@ def test_trailing_ranges_include_their_first_day(spark):
             ("b", "s", None, "SOON", DAY)]
     trend = reports.revenue_trend(kpi(spark, rows), DAY).collect()
     assert [(r["active_retailers"], r["urgent_visits"], r["avg_rps"], r["stockout_risk_count"]) for r in trend] == [(2, 1, 0.5, 2)]
+    assert reports.revenue_trend(kpi(spark, rows)).collect() == trend  # newest day by default
     health = reports.daily_health(kpi(spark, rows), DAY, days=31).collect()
     assert [str(r["ingestion_date"]) for r in health] == ["2024-01-30", "2023-12-31", "2023-12-30"]
     assert health[0]["mean_rps"] is None and health[0]["soon_count"] == 1
