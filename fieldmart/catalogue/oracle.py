@@ -346,6 +346,12 @@ def oracle_sql() -> dict[str, str]:
                       ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC,
                                l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) AS rn
                   FROM lineitem) WHERE rn = 1""",
+        "silver_daily_merge": _with("retailer", """
+            SELECT retailer_id, week,
+                   CASE WHEN ingestion_date >= DATE '2024-01-15' THEN avg_weekly_revenue + 1000
+                        ELSE avg_weekly_revenue END AS avg_weekly_revenue,
+                   CASE WHEN ingestion_date >= DATE '2024-01-15' THEN '2024-02-01'
+                        ELSE CAST(ingestion_date AS VARCHAR) END AS ingestion_date FROM retailer"""),
         # Scores and windows
         "min_max_norm": _with("bounds", f"""
             SELECT retailer_id, week, {_unit('avg_weekly_revenue')} AS norm_revenue,

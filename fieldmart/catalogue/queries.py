@@ -169,6 +169,25 @@ def dedup_latest(spark, sf_dir):
     return windows.keep_latest(lines, ["l_orderkey", "l_linenumber"], "l_shipdate")
 
 
+@query
+def silver_daily_merge(spark, sf_dir):
+    """A day that delivers corrected rows again, merged into the stored table by key."""
+    path = fresh_path(spark, "silver")
+    stored = layers.silver_retailers(spark, sf_dir).select(
+        "retailer_id", "week", "avg_weekly_revenue", "ingestion_date", "ingestion_timestamp"
+    )
+    arriving = stored.filter("ingestion_date >= '2024-01-15'").withColumns(
+        {
+            "avg_weekly_revenue": F.col("avg_weekly_revenue") + 1000,
+            "ingestion_date": F.lit("2024-02-01").cast("date"),
+            "ingestion_timestamp": _moment("2024-02-01 02:00:00"),
+        }
+    )
+    silver.merge_newest(spark, stored, path, silver.RETAILER_KEYS)
+    silver.merge_newest(spark, arriving, path, silver.RETAILER_KEYS)
+    return spark.read.parquet(path).drop("ingestion_timestamp")
+
+
 # --- Scores and windows ----------------------------------------------------------
 
 

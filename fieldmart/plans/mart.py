@@ -93,9 +93,6 @@ def upsert_partitions(
     current = spark.read.schema(T.StructType([*columns, staging.schema[partition_by]])).parquet(path)
     # One value per partition folder of the increment: small by construction.
     named = [row[0] for row in staging.select(partition_by).distinct().collect()]
-    wanted = F.col(partition_by).isin([value for value in named if value is not None])
-    if None in named:  # rows without the key share a folder; they are kept
-        wanted = wanted | F.col(partition_by).isNull()
-    touched = current.filter(wanted)
+    touched = current.filter(lake.in_partitions(partition_by, named))
     merged = stage(upsert(touched, staging, keys), "upsert")
     lake.write_partitioned(merged, path, [partition_by])

@@ -22,9 +22,12 @@ def run(
     execution_arn: str | None = None,
     max_age_hours: int | None = None,
     district_master: DataFrame | None = None,
+    day: str | None = None,
 ) -> dict[str, dict[str, int]]:
     """Ingest ``raw`` and rebuild the lake; a run-log row is written either way.
 
+    With ``day`` Silver takes in only what Bronze holds of that day.
+
     Layers are handed over as Parquet, so a failed run can restart at any layer.
     Returns rows per table of each layer.
     """
@@ -36,7 +39,7 @@ def run(
         counts["bronze"] = bronze.ingest(spark, raw, f"{lake}/bronze")
         counts["silver"] = silver.refine(
             spark, f"{lake}/bronze", f"{lake}/silver", f"{lake}/dq_reports/run_id={run_id}",
-            max_age_hours=max_age_hours, district_master=district_master,
+            max_age_hours=max_age_hours, district_master=district_master, day=day,
         )
         counts["gold"] = build_gold(spark, lake)
         status = "SUCCESS"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,9 @@ from fieldmart.functions import classify
 from fieldmart.operators import dq
 from fieldmart.operators.shaping import typed, with_default
 from fieldmart.operators.windows import keep_latest
-from fieldmart.sources.lake import read_optional, row_count, write_partitioned
+from fieldmart.sources import files
+from fieldmart.sources.lake import in_partitions, read_optional, row_count, write_partitioned
+from fieldmart.sources.staging import stage
 
 # One row per entity and period, so that lags and rolling means have a history.
 RETAILER_KEYS = ("retailer_id", "week")
@@ -117,24 +121,32 @@ def refine(
     keys: Mapping[str, Sequence[str]] = DEFAULT_KEYS,
     max_age_hours: int | None = None,
     district_master: DataFrame | None = None,
+    day: str | None = None,
 ) -> dict[str, int]:
-    """Build every Silver table whose Bronze input exists; rows per table.
+    """Build every Silver table whose Bronze input exists; rows written per table.
 
     Per table: one pass for all rules, on the rows before deduplication, and one
     write whose row count is observed on the way.  ``max_age_hours`` adds the
     freshness rule, ``district_master`` the referential one.
+
+    With ``day`` only that day's Bronze rows are read, checked and merged into the
+    existing tables (the retailer master is still looked up in all of Bronze), so a
+    daily run costs what the day brings and not what history holds.
     """
     retailers = read_optional(spark, f"{bronze}/features_retailers")
     districts = read_optional(spark, f"{bronze}/features_district_risk")
     inventory = read_optional(spark, f"{bronze}/retailer_inventory_weekly")
 
+    def arrived(df: DataFrame) -> DataFrame:
+        return df if day is None else df.filter(F.col("ingestion_date") == F.lit(day).cast("date"))
+
     inputs = {}
     if retailers is not None:
-        inputs["retailer"] = (type_retailers(retailers), retailer_rules)
+        inputs["retailer"] = (type_retailers(arrived(retailers)), retailer_rules)
     if districts is not None:
-        inputs["district"] = (type_districts(districts), district_rules)
+        inputs["district"] = (type_districts(arrived(districts)), district_rules)
     if retailers is not None and inventory is not None:
-        inputs["demand"] = (type_demand(enrich_inventory(inventory, retailers)), demand_rules)
+        inputs["demand"] = (type_demand(enrich_inventory(arrived(inventory), retailers)), demand_rules)
 
     rows = {}
     for table, (frame, suite) in inputs.items():
@@ -147,7 +159,37 @@ def refine(
         document = dq.report(checks, table, run_time)
         document.coalesce(1).write.mode("append").partitionBy("table").json(reports)
 
-        clean = with_default(keep_latest(frame, keys[table]), "ingestion_date", F.current_date())
-        written = write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"], "all", [row_count()])
+        frame = with_default(frame, "ingestion_date", F.current_date())
+        if day is None:
+            clean = keep_latest(frame, keys[table])
+            written = write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"], "all", [row_count()])
+        else:
+            written = merge_newest(spark, frame, f"{silver}/{table}", keys[table])
         rows[table] = written["rows"]
     return rows
+
+
+def merge_newest(
+    spark: SparkSession, rows: DataFrame, path: str, keys: Sequence[str], partition_by: str = "ingestion_date"
+) -> dict[str, int]:
+    """Merge ``rows`` into a deduplicated table, keeping the newest row per key.
+
+    The stored keys, a narrow scan, tell which partitions hold a row that arrives
+    again; only those and the arriving ones are read and replaced.  A partition left
+    without rows is removed last, so repeating the merge after a failure completes it.
+    """
+    stored = read_optional(spark, path)
+    if stored is None:
+        return write_partitioned(keep_latest(rows, keys), path, [partition_by], measures=[row_count()])
+    arriving = rows.select([F.col(k).alias(f"_new_{k}") for k in keys]).distinct()
+    same_key = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+    again = stored.select(*keys, partition_by).join(arriving, same_key, "left_semi").select(partition_by)
+    # One value per partition folder: at most the number of days kept.
+    days = [row[0] for row in again.union(rows.select(partition_by)).distinct().collect()]
+    affected = stored.filter(in_partitions(partition_by, days))
+    merged = stage(keep_latest(affected.unionByName(rows, allowMissingColumns=True), keys), "merge")
+    written = write_partitioned(merged, path, [partition_by], measures=[row_count()])
+    left = {row[0] for row in merged.select(partition_by).distinct().collect()}
+    for day in set(days) - left:
+        files.delete(spark, f"{path}/{partition_by}={day}")
+    return written

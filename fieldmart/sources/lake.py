@@ -62,6 +62,12 @@ def write_partitioned(
     return dict(seen.get) if measures else {}
 
 
+def in_partitions(column: str, values: Sequence) -> Column:
+    """Rows of the named partitions; None names the folder of rows without a value."""
+    test = F.col(column).isin([value for value in values if value is not None])
+    return test | F.col(column).isNull() if None in values else test
+
+
 def row_count() -> Column:
     return F.count(F.lit(1)).alias("rows")
 

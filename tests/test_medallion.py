@@ -129,6 +129,39 @@ def test_a_row_delivered_again_on_a_later_day_moves_there(spark, tmp_path):
     assert [(str(r["ingestion_date"]), r["avg_weekly_revenue"]) for r in rows] == [("2026-05-21", 1.0)]
 
 
+def test_daily_merges_equal_a_full_rebuild(spark, tmp_path):
+    """Rows that return on later days, a day that empties, and one that is untouched."""
+    base = RETAILERS[0]
+
+    def row(key, week, revenue):
+        return (key, *base[1:5], week, revenue, *base[7:])
+
+    days = {
+        "2026-05-18": [row("A", "2026-W20", 1.0)],
+        "2026-05-19": [row("A", "2026-W20", 2.0), row("B", "2026-W20", 1.0)],
+        "2026-05-20": [row("C", "2026-W20", 1.0), row("C", "2026-W20", 5.0)],
+        "2026-05-21": [row("B", "2026-W20", 3.0), row("D", "2026-W21", 1.0)],
+    }
+    raw, bronze_dir = tmp_path / "raw", str(tmp_path / "bronze")
+    merged, rebuilt = str(tmp_path / "merged"), str(tmp_path / "rebuilt")
+    for day, rows in days.items():
+        write_csv(raw, "features_retailers", names(RETAILER_SCHEMA), rows)
+        bronze.ingest(spark, str(raw), bronze_dir, ingested_at=F.lit(f"{day} 02:00:00").cast("timestamp"))
+        for _ in range(2):  # a repeated day changes nothing
+            silver.refine(spark, bronze_dir, merged, str(tmp_path / "reports"), day=day)
+    untouched = {p: p.stat().st_mtime for p in (tmp_path / "merged/retailer/ingestion_date=2026-05-20").iterdir()}
+    silver.refine(spark, bronze_dir, merged, str(tmp_path / "reports"), day="2026-05-21")
+    silver.refine(spark, bronze_dir, rebuilt, str(tmp_path / "reports"))
+
+    def table(path):
+        frame = spark.read.parquet(f"{path}/retailer")
+        return sorted(map(str, frame.select(*names(RETAILER_SCHEMA), "ingestion_date").collect()))
+
+    assert table(merged) == table(rebuilt) and len(table(merged)) == 4
+    assert not (tmp_path / "merged/retailer/ingestion_date=2026-05-18").exists()
+    assert untouched == {p: p.stat().st_mtime for p in (tmp_path / "merged/retailer/ingestion_date=2026-05-20").iterdir()}
+
+
 def test_missing_inputs_are_skipped(spark, tmp_path):
     write_csv(tmp_path / "raw", "features_district_risk", names(DISTRICT_SCHEMA), DISTRICTS)
     rows = medallion.run(spark, str(tmp_path / "raw"), str(tmp_path / "lake"))
