@@ -14,7 +14,7 @@ from fieldmart.operators.keys import dense_key
 from fieldmart.operators.shaping import narrow
 from fieldmart.operators.upsert import upsert
 from fieldmart.sources import lake
-from fieldmart.sources.staging import stage
+from fieldmart.sources.staging import staged
 
 
 def to_fact(gold: DataFrame, table: str, loaded_at: Column | None = None) -> DataFrame:
@@ -94,5 +94,5 @@ def upsert_partitions(
     # One value per partition folder of the increment: small by construction.
     named = [row[0] for row in staging.select(partition_by).distinct().collect()]
     touched = current.filter(lake.in_partitions(partition_by, named))
-    merged = stage(upsert(touched, staging, keys), "upsert")
-    lake.write_partitioned(merged, path, [partition_by])
+    with staged(upsert(touched, staging, keys), "upsert") as merged:
+        lake.write_partitioned(merged, path, [partition_by])

@@ -15,7 +15,7 @@ from fieldmart.operators.shaping import typed, with_default
 from fieldmart.operators.windows import keep_latest
 from fieldmart.sources import files
 from fieldmart.sources.lake import in_partitions, read_optional, row_count, write_partitioned
-from fieldmart.sources.staging import stage
+from fieldmart.sources.staging import staged
 
 # One row per entity and period, so that lags and rolling means have a history.
 RETAILER_KEYS = ("retailer_id", "week")
@@ -187,9 +187,10 @@ def merge_newest(
     # One value per partition folder: at most the number of days kept.
     days = [row[0] for row in again.union(rows.select(partition_by)).distinct().collect()]
     affected = stored.filter(in_partitions(partition_by, days))
-    merged = stage(keep_latest(affected.unionByName(rows, allowMissingColumns=True), keys), "merge")
-    written = write_partitioned(merged, path, [partition_by], measures=[row_count()])
-    left = {row[0] for row in merged.select(partition_by).distinct().collect()}
+    newest = keep_latest(affected.unionByName(rows, allowMissingColumns=True), keys)
+    with staged(newest, "merge") as merged:
+        written = write_partitioned(merged, path, [partition_by], measures=[row_count()])
+        left = {row[0] for row in merged.select(partition_by).distinct().collect()}
     for day in set(days) - left:
         files.delete(spark, f"{path}/{partition_by}={day}")
     return written

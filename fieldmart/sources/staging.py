@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldmart.sources import files
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _local_roots: dict[str, str] = {}
@@ -36,9 +40,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/fieldmart/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, fresh_path(df.sparkSession, name))
+
+
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``stage`` for the length of a block; the folder goes once the block succeeded.
+
+    When the block fails the folder stays, since it may hold the only full copy of
+    what was being replaced.
+    """
+    path = fresh_path(df.sparkSession, name)
+    yield _written(df, path)
+    files.delete(df.sparkSession, path)

@@ -164,6 +164,17 @@ def test_staging_prefers_the_configured_folder(spark, tmp_path):
     assert staging.fresh_path(spark, "x") != staging.fresh_path(spark, "x")
 
 
+def test_a_staged_block_cleans_up_only_on_success(spark, monkeypatch, tmp_path):
+    paths = iter([str(tmp_path / "good"), str(tmp_path / "bad")])
+    monkeypatch.setattr(staging, "fresh_path", lambda *_: next(paths))
+    with staging.staged(spark.range(3), "x") as frame:
+        assert frame.count() == 3
+    with pytest.raises(RuntimeError):
+        with staging.staged(spark.range(3), "x"):
+            raise RuntimeError
+    assert not (tmp_path / "good").exists() and (tmp_path / "bad").exists()
+
+
 def test_projection_and_aliases(spark):
     frame = spark.createDataFrame([("3.7", "x", "12", "1e3")], "a string, b string, c string, d string")
     assert project(frame, ["c", "absent", "a"]).columns == ["c", "a"]
