@@ -32,7 +32,7 @@ WORD_BUCKETS = 1 << 13
 UNDETERMINED = "und"
 #: Price of one more language in units of log(words) / 2.
 PENALTY = 6.0
-STEPS = 6
+STEPS = 5
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -104,15 +104,19 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in rows], np.log(table).astype(np.float32)
 
 
-def shares(likelihood: np.ndarray, owner: np.ndarray, first: np.ndarray, count: np.ndarray, start: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mixture shares after EM, and the log likelihood, of texts whose words stand together."""
-    pi = start
+def shares(likelihood: np.ndarray, first: np.ndarray, count: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mixture shares after EM, and the log likelihood, of texts whose words stand together.
+
+    Arrays have one row per language, so that every sum runs along memory.
+    """
+    weighted = np.repeat(pi, count, axis=1) * likelihood
+    total = weighted.sum(axis=0)
     for _ in range(steps):
-        part = likelihood * pi[owner]
-        part /= part.sum(axis=1, keepdims=True)
-        pi = np.add.reduceat(part, first, axis=0) / count[:, None]
-    total = np.log((likelihood * pi[owner]).sum(axis=1))
-    return pi, np.add.reduceat(total, first)
+        weighted /= total
+        pi = np.add.reduceat(weighted, first, axis=1) / count.astype(np.float32)
+        np.multiply(np.repeat(pi, count, axis=1), likelihood, out=weighted)
+        total = weighted.sum(axis=0)
+    return pi, np.add.reduceat(np.log(total), first)
 
 
 def infer(words: ta.Words, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,35 +127,33 @@ def infer(words: ta.Words, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(full):
         return all_shares, sets
     found, first_feature = features(words)
-    log_word = np.add.reduceat(model[found], first_feature, axis=0)
-    best = log_word.max(axis=1, keepdims=True)
-    # Words that are alike in all languages say little; the floor keeps shares from collapsing.
-    likelihood = np.maximum(np.exp(log_word - best), 1e-12).astype(np.float32)
-    first, count = words.first[:-1][full], words.count[full].astype(np.float32)
-    owner = np.repeat(np.arange(len(full)), words.count[full])
-    pi, _ = shares(likelihood, owner, first, count, np.full((len(full), n_langs), 1 / n_langs, np.float32), STEPS)
-    order = np.argsort(-pi, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
+    log_word = np.stack([np.add.reduceat(column[found], first_feature) for column in model.T])
+    log_word -= log_word.max(axis=0)
+    # The floor keeps a single odd word from ruling a language out.
+    likelihood = np.maximum(np.exp(log_word), np.float32(1e-12))
+    first, count = words.first[:-1][full], words.count[full]
+    pi, _ = shares(likelihood, first, count, np.full((n_langs, len(full)), 1 / n_langs, np.float32), STEPS)
+    order = np.argsort(-pi, axis=0, kind="stable")
+    rank = np.argsort(order, axis=0, kind="stable")
     best_score = np.full(len(full), -np.inf)
-    chosen, size = np.zeros((len(full), n_langs), np.float32), np.zeros(len(full), np.int64)
+    chosen, size = np.zeros((n_langs, len(full)), np.float32), np.zeros(len(full), np.int64)
     open_ = np.ones(len(full), bool)
     for k in range(1, n_langs + 1):
         # A set grows only while the last language paid its price.
         docs = np.flatnonzero(open_)
         if not len(docs):
             break
-        mine = open_[owner]
-        start = np.where(rank[docs] < k, np.maximum(pi[docs], 1e-6), 0).astype(np.float32)
-        start /= start.sum(axis=1, keepdims=True)
-        places = np.cumsum(count[docs].astype(np.int64)) - count[docs].astype(np.int64)
-        got, log_likelihood = shares(likelihood[mine], np.repeat(np.arange(len(docs)), count[docs].astype(np.int64)), places, count[docs], start, STEPS if k > 1 else 0)
+        start = np.where(rank[:, docs] < k, np.maximum(pi[:, docs], np.float32(1e-6)), np.float32(0))
+        start /= start.sum(axis=0)
+        part = likelihood if len(docs) == len(full) else likelihood[:, np.repeat(open_, count)]
+        got, log_likelihood = shares(part, np.cumsum(count[docs]) - count[docs], count[docs], start, STEPS if k > 1 else 0)
         score = log_likelihood - PENALTY * k * np.log(count[docs] + 1) / 2
         better = score > best_score[docs]
         best_score[docs[better]] = score[better]
-        chosen[docs[better]] = got[better]
+        chosen[:, docs[better]] = got[:, better]
         size[docs[better]] = k
         open_[docs[~better]] = False
-    all_shares[full], sets[full] = chosen, size
+    all_shares[full], sets[full] = chosen.T, size
     return all_shares, sets
 
 

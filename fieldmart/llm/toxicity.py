@@ -2,9 +2,8 @@
 
 Learning: terms (words, and stems: prefixes shared by many words) that labelled toxic
 texts use far more often than others form the lexicon.  It is held as a trie.  A word is
-matched by walking the trie together with the word's Levenshtein automaton, whose states
-are the rows of the edit-distance table; branches whose state has no distance within the
-limit are left.  Each match is weighed by its context window: inside quotation marks or
+matched by the intersection of that trie with Levenshtein automata, determinised as words
+need it.  Each match is weighed by its context window: inside quotation marks or
 next to a word of reporting it counts as quotation, otherwise as abuse.  A logistic
 model turns the counts into a score.
 
@@ -37,20 +36,24 @@ from fieldmart.llm.langid import fold
 MAX_TRAIN = 20_000
 THRESHOLD = 0.7
 STEM_LENGTHS = range(4, 9)
-#: A term must occur in this share of the toxic texts, and in three of them.
-MIN_SHARE = 0.005
+#: A term must occur in this share of the toxic texts, and in three of them, so that a
+#: few near copies of one text can't make its words terms.
+MIN_SHARE = 0.02
 #: Least log odds of a term between toxic and other texts.
-MIN_LOG_ODDS = 3.0
+MIN_LOG_ODDS = 2.5
+#: Least likelihood ratio of a term; among a hundred thousand chance terms none reaches it.
+MIN_EVIDENCE = 30.0
 #: Words a task remembers as matched or not; beyond that it starts anew.
 CACHE_WORDS = 500_000
 WINDOW_WORDS = 4
+#: States of the automaton that a task keeps.
+MAX_STATES = 100_000
 
 # Words that introduce someone else's words, in four languages.
 REPORTING = frozenset(
     "said says saying wrote writes quote quoted quotes called calls word words term insult "
     "sagte sagt schrieb zitat nannte wort dijo dice cita llamó palabra escribió dit cite citation mot écrit appelé".split()
 )
-_OPEN, _CLOSE = "“„«‹", "”»›"
 
 
 def allowed_edits(term: str) -> int:
@@ -59,49 +62,92 @@ def allowed_edits(term: str) -> int:
 
 
 class Lexicon:
-    """Terms in a trie, and matching of words by automaton.  Stems end with ``*``."""
+    """Terms in a trie, intersected with Levenshtein automata.  Stems end with ``*``.
+
+    A state is a set of (trie node, edits so far): all places of the lexicon that a word
+    may have reached.  States and steps are worked out when a word first needs them and
+    kept, so matching a word costs one look-up per letter.
+    """
 
     def __init__(self, terms: list[str]):
         self.stems = tuple(t[:-1] for t in terms if t.endswith("*"))
-        self.words = [t for t in terms if not t.endswith("*")]
-        self.trie: dict = {}
-        for word in self.words:
-            node = self.trie
-            for ch in word:
-                node = node.setdefault(ch, {})
-            node[""] = word
-        # Of d + 1 parts of a term, an edit distance of d leaves one untouched; with two
-        # parts it stays at its end of the word.  Words without such a part can't match.
-        sure = []
-        for word in self.words:
-            d = allowed_edits(word)
-            cut = [round(i * len(word) / (d + 1)) for i in range(d + 2)]
-            parts = [re.escape(word[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-            sure += ["^" + parts[0] + "$"] if d == 0 else ["^" + parts[0], parts[1] + "$"] if d == 1 else parts
-        self.maybe = re.compile("|".join(sorted(set(sure)))) if sure else re.compile(r"(?!)")
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: dict[int, int] = {}  # node -> edits allowed for the term that ends there
+        self.limit = [0]  # most edits allowed for any term below
+        for term in terms:
+            if term.endswith("*"):
+                continue
+            node, allowed = 0, allowed_edits(term)
+            self.limit[0] = max(self.limit[0], allowed)
+            for ch in term:
+                if ch not in self.children[node]:
+                    self.children[node][ch] = len(self.children)
+                    self.children.append({})
+                    self.limit.append(0)
+                node = self.children[node][ch]
+                self.limit[node] = max(self.limit[node], allowed)
+            self.ends[node] = allowed
+        self.letters = {ch for child in self.children for ch in child}
+        self._start_over()
+
+    def _start_over(self) -> None:
+        self.number: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.steps: list[dict[str, int]] = []
+        self.accepts: list[int | None] = []
+        self.first = self._state({0: 0})
+
+    def _state(self, reached: dict[int, int]) -> int:
+        """Number of the state that has reached these nodes, and those past skipped letters; -1 if none."""
+        todo = list(reached)
+        while todo:
+            node = todo.pop()
+            for child in self.children[node].values():
+                edits = reached[node] + 1
+                if edits <= self.limit[child] and edits < reached.get(child, edits + 1):
+                    reached[child] = edits
+                    todo.append(child)
+        if not reached:
+            return -1
+        key = frozenset(reached.items())
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+            self.steps.append({})
+            found = [e for n, e in key if e <= self.ends.get(n, -1)]
+            self.accepts.append(min(found) if found else None)
+        return self.number[key]
+
+    def _step(self, state: int, letter: str) -> int:
+        reached: dict[int, int] = {}
+
+        def reach(node: int, edits: int) -> None:
+            if edits <= self.limit[node] and edits < reached.get(node, edits + 1):
+                reached[node] = edits
+
+        for node, edits in self.states[state]:
+            reach(node, edits + 1)  # a letter too many
+            for ch, child in self.children[node].items():
+                reach(child, edits + (ch != letter))
+        return self._state(reached)
 
     def edits(self, word: str) -> int | None:
         """Least number of edits to a term (0 also for a stem); None if there is no match."""
-        if word.startswith(self.stems) if self.stems else False:
+        if self.stems and word.startswith(self.stems):
             return 0
-        if not self.maybe.search(word):
-            return None
-        best = None
-        stack = [(self.trie, tuple(range(len(word) + 1)))]
-        while stack:
-            node, state = stack.pop()
-            for ch, child in node.items():
-                if ch == "":
-                    d = state[-1]
-                    if d <= allowed_edits(child) and (best is None or d < best):
-                        best = d
-                    continue
-                row = [state[0] + 1]
-                for i, letter in enumerate(word):
-                    row.append(min(row[i] + 1, state[i + 1] + 1, state[i] + (letter != ch)))
-                if min(row) <= 2:
-                    stack.append((child, tuple(row)))
-        return best
+        if len(self.states) > MAX_STATES:
+            self._start_over()
+        state, steps = self.first, self.steps
+        for ch in word:
+            if ch not in self.letters:
+                ch = ""
+            after = steps[state].get(ch)
+            if after is None:
+                after = steps[state][ch] = self._step(state, ch)
+            if after < 0:
+                return None
+            state = after
+        return self.accepts[state]
 
 
 class Matcher:
@@ -193,17 +239,31 @@ def _count_terms(wanted: frozenset | None):
 
 def choose_terms(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_other: int) -> list[str]:
     """Terms with high log odds; a stem gives way to a word that explains it, and covers the rest."""
-    odds = {t: np.log((a + 0.5) / (n_toxic + 1)) - np.log((other.get(t, 0) + 0.5) / (n_other + 1)) for t, a in toxic.items()}
-    good = {t for t in toxic if odds[t] >= MIN_LOG_ODDS}
+    good = set()
+    for term, a in toxic.items():
+        b = other.get(term, 0)
+        odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_other + 1))
+        if odds >= MIN_LOG_ODDS and evidence(a, b, n_toxic, n_other) >= MIN_EVIDENCE:
+            good.add(term)
     words = sorted(t for t in good if not t.endswith("*"))
-    stems = sorted((t for t in good if t.endswith("*")), key=lambda t: (len(t), t))
-    explained = {w[:n] + "*": w for w in words for n in STEM_LENGTHS if n < len(w) and toxic[w] >= 0.8 * toxic.get(w[:n] + "*", 0)}
-    kept: list[str] = []
-    for stem in stems:
-        if stem not in explained and not stem[:-1].startswith(tuple(k[:-1] for k in kept)):
-            kept.append(stem)
-    cover = tuple(k[:-1] for k in kept)
-    return kept + [w for w in words if not (cover and w.startswith(cover))]
+    explained = {w[:n] + "*" for w in words for n in STEM_LENGTHS if n < len(w) and toxic[w] >= 0.8 * toxic.get(w[:n] + "*", 0)}
+    kept: set[str] = set()
+    covered = lambda t: any(t[:n] + "*" in kept for n in STEM_LENGTHS if n <= len(t))
+    for stem in sorted((t for t in good - explained if t.endswith("*")), key=lambda t: (len(t), t)):
+        if not covered(stem[:-1]):
+            kept.add(stem)
+    return sorted(kept) + [w for w in words if not covered(w)]
+
+
+def evidence(a: int, b: int, n_a: int, n_b: int) -> float:
+    """Likelihood ratio statistic of a hits among n_a against b among n_b."""
+    total = 0.0
+    share = (a + b) / (n_a + n_b)
+    for hits, n in ((a, n_a), (b, n_b)):
+        for seen, expected in ((hits, n * share), (n - hits, n * (1 - share))):
+            if seen > 0:
+                total += 2 * seen * np.log(seen / expected)
+    return total
 
 
 #: Where the weights are drawn to when examples are few: abuse counts, quotation hardly.
@@ -226,14 +286,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """text and toxic of at most ``max_train`` labelled documents outside the held-out fold."""
+    """text and toxic of at most ``max_train`` labelled documents outside the held-out fold.
+
+    Equal texts teach once.
+    """
     taught = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(fold(F.col("doc_id"), 3) != 1)
         .groupBy(F.col("doc_id").alias("t_id")).agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("t_id"), "t_id").limit(max_train)
     )
     # max_train ids at most: a broadcast of fixed size.
-    return docs.join(F.broadcast(taught), F.col("doc_id") == F.col("t_id")).select("text", "toxic")
+    return docs.join(F.broadcast(taught), F.col("doc_id") == F.col("t_id")).groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray] | None:
