@@ -162,13 +162,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     found = marked.filter("n_shingles > 0").groupBy("text_key").agg(F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
     vertices = stage(found.withColumn("v", F.monotonically_increasing_id()), "vertices")
     buckets = vertices.select("v", "n", F.explode("bands").alias("bucket"))
-    hubs = (
-        buckets.groupBy("bucket")
-        .agg(F.min(F.struct(F.xxhash64("v", "bucket").alias("order"), F.col("v").alias("hub"))).alias("h"), F.count("*").alias("members"))
-        .filter("members > 1").select("bucket", F.col("h.hub").alias("hub"))
+    # A text with few edits of its own falls into the large buckets of its family: the
+    # size of a vertex's buckets tells how central it is.
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = stage(buckets.join(sizes, "bucket"), "shared-buckets")
+    central = shared.groupBy("v").agg(F.sum("members").alias("weight"))
+    ranked = shared.join(central, "v")
+    hubs = ranked.groupBy("bucket").agg(
+        F.max(F.struct("weight", F.xxhash64("v").alias("order"), F.col("v").alias("hub"))).alias("h"),
+        F.min(F.struct(F.xxhash64("v", "bucket").alias("order"), F.col("v").alias("hub"))).alias("r"),
+    ).select("bucket", F.array_distinct(F.array("h.hub", "r.hub")).alias("hubs"))
+    crowded = stage(shared.join(hubs, "bucket"), "buckets")
+    first = stage(
+        crowded.select("v", F.explode("hubs").alias("hub")).filter("v <> hub")
+        .select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct(),
+        "pairs",
     )
-    crowded = stage(buckets.join(hubs, "bucket"), "buckets")
-    first = stage(crowded.filter("v <> hub").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct(), "pairs")
     # Texts are joined by their hash to the vertices that are in some pair at all.
     involved = crowded.select("v").distinct().join(vertices.select("v", "text_key"), "v")
     texts = stage(rows.join(involved, "text_key").select("v", "text").dropDuplicates(["v"]), "texts")
