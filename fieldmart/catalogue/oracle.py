@@ -199,10 +199,13 @@ _RISK_COLUMNS = (
 )
 
 
+def _exact_sum(column: str) -> str:
+    # Decimals are read from and turned into text, since that rounds correctly.
+    return f"CAST(CAST(sum(CAST(CAST({column} AS VARCHAR) AS DECIMAL(28,10))) AS VARCHAR) AS DOUBLE)"
+
+
 def _exact_avg(column: str) -> str:
-    return (
-        f"CAST(sum(CAST(round({column} * 10000) AS BIGINT)) AS DOUBLE) / CAST(count({column}) AS DOUBLE) / 10000e0"
-    )
+    return f"{_exact_sum(column)} / CAST(count({column}) AS DOUBLE)"
 
 
 def _rule(name: str, fails: str, details: str, source: str) -> str:
@@ -275,10 +278,10 @@ _RUN_TIME = LOAD_TIME.replace(" ", "T") + "Z"
 
 
 def _bucketed(width: str, extra: str = "", keys: str = ", event_type") -> str:
-    units = "CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS DOUBLE)"
+    total = _exact_sum("value")
     return f"""
         SELECT strftime(time_bucket(INTERVAL '{width}', ts), '%Y-%m-%d %H:%M:%S') AS window_start{keys},
-               count(*) AS n, {units} / 10000e0 AS sum_value, {units} / CAST(count(value) AS DOUBLE) / 10000e0 AS avg_value
+               count(*) AS n, {total} AS sum_value, {total} / CAST(count(value) AS DOUBLE) AS avg_value
         FROM events {extra} GROUP BY time_bucket(INTERVAL '{width}', ts){keys}"""
 
 
@@ -407,7 +410,7 @@ def oracle_sql() -> dict[str, str]:
             FROM risk WHERE ingestion_date = DATE '{KPI_DAY}' AND risk_tier IN ('HIGH', 'MEDIUM')"""),
         "q3_revenue_trend": _with("kpi", f"""
             SELECT state, week, count(DISTINCT retailer_id) AS active_retailers,
-                   {half_up('CAST(sum(CAST(round(avg_weekly_revenue * 10000) AS BIGINT)) AS DOUBLE) / 10000e0', 0)}
+                   {half_up(_exact_sum('avg_weekly_revenue'), 0)}
                        AS total_revenue_inr,
                    {half_up(_exact_avg('rps_score'), 3)} AS avg_rps,
                    CAST(sum(stockout_risk_flag) AS BIGINT) AS stockout_risk_count,

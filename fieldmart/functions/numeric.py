@@ -1,9 +1,7 @@
 """Arithmetic that gives the same answer whatever the row order.
 
-Sums and averages over groups run on integers (money in cents, scores in
-ten-thousandths) and are scaled back once, because a floating sum depends on the
-order in which tasks deliver their rows.  A group total beyond the range of a
-bigint raises; it never wraps.
+Sums and averages over groups run on decimals, because a floating sum depends on the
+order in which tasks deliver their rows.
 """
 
 from __future__ import annotations
@@ -20,15 +18,19 @@ def scaled(value: Column, digits: int) -> Column:
     return F.round(value * F.lit(10**digits)).cast("bigint")
 
 
-def exact_sum(value: Column, digits: int = 4) -> Column:
-    """Order-independent sum of values known to ``digits`` decimals."""
-    return F.sum(scaled(value, digits)) / F.lit(float(10**digits))
+#: Digits kept before and after the point while adding up.
+EXACT = "decimal(28,10)"
 
 
-def exact_avg(value: Column, digits: int = 4) -> Column:
-    """Order-independent mean of values known to ``digits`` decimals."""
-    total = F.sum(scaled(value, digits)).cast("double")
-    return F.try_divide(total, F.count(value).cast("double")) / F.lit(float(10**digits))
+def exact_sum(value: Column) -> Column:
+    """Order-independent sum; NaN and infinite values count as missing."""
+    return F.sum(value.try_cast(EXACT)).cast("double")
+
+
+def exact_avg(value: Column) -> Column:
+    """Order-independent mean; NaN and infinite values count as missing."""
+    exact = value.try_cast(EXACT)
+    return F.try_divide(F.sum(exact).cast("double"), F.count(exact).cast("double"))
 
 
 def weighted_sum(terms: list[tuple[float, Column]]) -> Column:

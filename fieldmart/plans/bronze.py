@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmart.schemas import RAW_DATASETS
-from fieldmart.sources import csv
+from fieldmart.schemas import RAW_ALIASES, RAW_DATASETS
+from fieldmart.sources import csv, files
 from fieldmart.sources.lake import row_count, write_partitioned
 
 
@@ -27,23 +27,20 @@ def with_ingest_metadata(
     )
 
 
-def datasets(spark: SparkSession, raw: str) -> dict[str, list[str]]:
-    """Dataset name -> its export folders (none for plain files); a handful of names."""
-    found = (
-        csv.discover(spark, raw)
-        .groupBy("dataset")
-        .agg(F.sort_array(F.collect_set("export_folder")).alias("folders"))
-        .orderBy("dataset")
-    )
-    return {row["dataset"]: row["folders"] for row in found.collect()}
+def datasets(spark: SparkSession, raw: str, exported: Collection[str] = ()) -> dict[str, list[str]]:
+    """Dataset name -> its files: names only, as any file listing."""
+    found = csv.discover(spark, raw, exported).groupBy("dataset").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return {row["dataset"]: row["paths"] for row in found.orderBy("dataset").collect()}
 
 
 def scan_dataset(
-    spark: SparkSession, raw: str, dataset: str, schema: T.StructType | None, folders: Sequence[str] = ()
+    spark: SparkSession, paths: Sequence[str], schema: T.StructType | None, aliases: Mapping[str, str] = RAW_ALIASES
 ) -> DataFrame:
-    """All files of one dataset anywhere under ``raw``."""
-    pattern = "part-*.csv" if folders else f"{dataset}.csv"
-    return csv.read(spark, list(folders) or raw, schema, recursiveFileLookup=True, pathGlobFilter=pattern)
+    """All files of one dataset, with ``source_path``."""
+    if schema is not None:
+        return csv.read_by_header(spark, paths, schema, aliases)
+    frame = csv.read(spark, [files.literal_path(p) for p in paths])
+    return frame.withColumn("source_path", F.col("_metadata.file_path"))
 
 
 def ingest(
@@ -52,16 +49,19 @@ def ingest(
     bronze: str,
     schemas: Mapping[str, T.StructType] = RAW_DATASETS,
     ingested_at: Column | None = None,
+    exported: Collection[str] | None = None,
 ) -> dict[str, int]:
     """Write every dataset under ``raw`` to its own Bronze folder; rows per dataset.
 
     Files of one stem in several folders form one dataset, so none overwrites
-    another.  Datasets without a known schema are read with inferred types.
+    another, and so do a plain file and the parts of an export folder of that name.
+    ``exported`` names the datasets that may come as folders of parts; all known ones
+    by default.  Datasets without a known schema are read with inferred types.
     """
     rows = {}
-    for dataset, folders in datasets(spark, raw).items():
-        frame = scan_dataset(spark, raw, dataset, schemas.get(dataset), folders)
-        frame = with_ingest_metadata(frame, None, ingested_at)
+    for dataset, paths in datasets(spark, raw, list(schemas) if exported is None else exported).items():
+        frame = scan_dataset(spark, paths, schemas.get(dataset))
+        frame = with_ingest_metadata(frame, F.col("source_path"), ingested_at)
         # All rows belong to today's partition, so each task writes its own file.
         written = write_partitioned(
             frame, f"{bronze}/{dataset}", ["ingestion_date"], measures=[row_count()], gather=False

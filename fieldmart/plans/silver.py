@@ -14,7 +14,7 @@ from fieldmart.operators import dq
 from fieldmart.operators.shaping import typed, with_default
 from fieldmart.operators.windows import keep_latest
 from fieldmart.sources import files
-from fieldmart.sources.lake import in_partitions, read_optional, row_count, write_partitioned
+from fieldmart.sources.lake import NULL_PARTITION, in_partitions, read_optional, row_count, write_partitioned
 from fieldmart.sources.staging import staged
 
 # One row per entity and period, so that lags and rolling means have a history.
@@ -76,8 +76,10 @@ def enrich_inventory(inventory: DataFrame, retailers: DataFrame) -> DataFrame:
     measured size is below the threshold and splits hot retailers otherwise.
     """
     columns = [c for c in ("retailer_id", "district", "state", "week", "ingestion_timestamp") if c in retailers.columns]
-    order = "ingestion_timestamp" if "ingestion_timestamp" in columns else "week"
-    dimension = keep_latest(retailers.select(*columns), ["retailer_id"], order)
+    # Rows of one delivery share a timestamp, so the newest week decides among them.
+    order = [c for c in ("ingestion_timestamp", "week") if c in columns]
+    rest = [c for c in ("district", "state") if c in columns]
+    dimension = keep_latest(retailers.select(*columns), ["retailer_id"], order[0], [*order[1:], *rest])
     facts = inventory.drop("district", "state")
     return facts.join(dimension.select("retailer_id", "district", "state"), "retailer_id")
 
@@ -130,8 +132,8 @@ def refine(
     freshness rule, ``district_master`` the referential one.
 
     With ``day`` only that day's Bronze rows are read, checked and merged into the
-    existing tables (the retailer master is still looked up in all of Bronze), so a
-    daily run costs what the day brings and not what history holds.
+    existing tables.  The retailer master is still looked up in all of Bronze, and the
+    stored keys are scanned, so those two reads grow with history.
     """
     retailers = read_optional(spark, f"{bronze}/features_retailers")
     districts = read_optional(spark, f"{bronze}/features_district_risk")
@@ -150,7 +152,8 @@ def refine(
 
     rows = {}
     for table, (frame, suite) in inputs.items():
-        rules = suite(frame)
+        own_keys = tuple(keys[table]) != DEFAULT_KEYS[table]
+        rules = suite(frame, keys[table]) if own_keys else suite(frame)
         if max_age_hours is not None:
             rules.append(dq.freshness("ingestion_timestamp", max_age_hours, run_time))
         checks = dq.checked(frame, rules)
@@ -192,5 +195,6 @@ def merge_newest(
         written = write_partitioned(merged, path, [partition_by], measures=[row_count()])
         left = {row[0] for row in merged.select(partition_by).distinct().collect()}
     for day in set(days) - left:
-        files.delete(spark, f"{path}/{partition_by}={day}")
+        # Rows without a day stand in the folder that Spark names for NULL.
+        files.delete(spark, f"{path}/{partition_by}={NULL_PARTITION if day is None else day}")
     return written

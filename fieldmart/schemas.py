@@ -32,8 +32,15 @@ RAW_DISTRICTS = schema_of(
     "total_pest_alerts int, high_incidence_count int, fungicide_risk_flag int"
 )
 RAW_INVENTORY = schema_of(
-    "retailer_id string, sku_id string, sku_name string, sku_qty double, week_end_date string"
+    "retailer_id string, sku_id string, sku_name string, sku_qty double, week_end_date string, "
+    "current_stock_qty double"
 )
+# Other headers under which sources deliver a column.
+RAW_ALIASES = {
+    "weeks_of_stock_remaining": "weeks_of_stock",
+    "recent_precip_sum": "precip_mm_7d",
+    "recent_humidity_avg": "avg_humidity_pct",
+}
 RAW_DATASETS = {
     "features_retailers": RAW_RETAILERS,
     "features_district_risk": RAW_DISTRICTS,

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmart.sources.lake import NULL_PARTITION
+
 
 def create_database(spark: SparkSession, name: str, location: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{location}'")
@@ -31,7 +33,8 @@ def register_external(
 def newest_partition(spark: SparkSession, table: str, column: str) -> str | None:
     """The greatest value of a partition column, from the catalog: no file is opened."""
     value = F.regexp_extract("partition", rf"(?:^|/){column}=([^/]*)", 1)
-    return spark.sql(f"SHOW PARTITIONS {table}").agg(F.max(value)).first()[0]
+    named = spark.sql(f"SHOW PARTITIONS {table}").select(value.alias("value")).filter(F.col("value") != NULL_PARTITION)
+    return named.agg(F.max("value")).first()[0]
 
 
 def add_new_columns(spark: SparkSession, table: str, observed: T.StructType) -> list[str]:

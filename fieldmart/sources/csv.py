@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Collection, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmart.sources import files
+
 CORRUPT_RECORD = "_corrupt_record"
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """CSV files under ``root``: dataset, folder, path, size.
+def discover(spark: SparkSession, root: str, exported: Collection[str] = ()) -> DataFrame:
+    """CSV files under ``root``: dataset, path, size.
 
-    The dataset is the file stem, or the folder name where a job exported the data
-    as ``part-*`` files.  Only names and sizes are listed; contents are not read.
+    The dataset is the file stem.  A file in a folder named in ``exported`` whose own
+    stem is not named there is a part of that folder's dataset, as jobs export them.
+    Only names and sizes are listed; contents are not read.
     """
-    files = (
+    found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
@@ -23,14 +29,18 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
         .select("path", F.col("length").alias("size"))
     )
     stem = F.regexp_extract("path", r"([^/]+)\.csv$", 1)
-    folder = F.regexp_extract("path", r"^(.*)/[^/]+$", 1)
-    exported = stem.startswith("part-")
-    return files.select(
-        F.when(exported, F.regexp_extract(folder, r"([^/]+)$", 1)).otherwise(stem).alias("dataset"),
-        F.when(exported, folder).alias("export_folder"),
-        "path",
-        "size",
-    )
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    names = list(exported)
+    part = folder.isin(names) & ~stem.isin(names) if names else F.lit(False)
+    return found.select(F.when(part, folder).otherwise(stem).alias("dataset"), "path", "size")
+
+
+def header_groups(spark: SparkSession, paths: Collection[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header; one line of each file is read."""
+    groups = defaultdict(list)
+    for path in paths:
+        groups[tuple(files.first_record(spark, path))].append(path)
+    return dict(groups)
 
 
 def read(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, **options) -> DataFrame:
@@ -48,6 +58,30 @@ def read(spark: SparkSession, path: str | list[str], schema: T.StructType | None
         reader.schema(schema)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT_RECORD)
-        .option("enforceSchema", False)
         .csv(path)
     )
+
+
+def read_by_header(
+    spark: SparkSession, paths: Collection[str], schema: T.StructType, aliases: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Scan files whose headers may differ: columns are matched by name.
+
+    A column may come in any place or under an alias (used where the file lacks the
+    column itself), columns the schema lacks are kept as text, and columns a file lacks
+    are NULL.
+    """
+    aliases, kinds = aliases or {}, {f.name: f.dataType for f in schema.fields}
+    frames = []
+    for header, group in header_groups(spark, paths).items():
+        columns = [aliases[c] if aliases.get(c) in kinds and aliases[c] not in header else c for c in header]
+        fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in columns]
+        frame = read(spark, [files.literal_path(p) for p in group], T.StructType(fields))
+        missing = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in columns}
+        extra = [c for c in columns if c not in kinds]
+        frame = frame.withColumns({**missing, "source_path": F.col("_metadata.file_path")})
+        frames.append(frame.select(*kinds, *extra, CORRUPT_RECORD, "source_path"))
+    result = frames[0]
+    for frame in frames[1:]:
+        result = result.unionByName(frame, allowMissingColumns=True)
+    return result

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -24,6 +27,23 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory())
 
 
+def literal_path(path: str) -> str:
+    """The path with the characters escaped that a reader would take for a pattern."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
+def first_record(spark: SparkSession, path: str) -> list[str]:
+    """Fields of the first line of a CSV file; none for an empty file."""
+    jvm = spark.sparkContext._jvm
+    target, fs = _path(spark, path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(target), "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return next(csv.reader([line.removeprefix("\ufeff")]), []) if line else []
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove the folder ``path`` and what it holds."""
     target, fs = _path(spark, path)

@@ -11,16 +11,22 @@ from pyspark.sql import types as T
 
 from fieldmart.sources import files
 
+# Fixed value: the folder in which Spark writes rows whose partition value is NULL.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
     """The Parquet table at ``path``, or None where it does not exist.
 
+    Without a ``schema`` the files' schemas are merged, so a column that only newer
+    files have is there for all rows.
+
     Every other error, such as a broken file or a denied access, is raised.
     """
     if not files.exists(spark, path):
         return None
     try:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

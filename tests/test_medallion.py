@@ -25,8 +25,8 @@ def raw(tmp_path):
     root = tmp_path / "raw"
     write_csv(root / "retailers", "features_retailers", names(RETAILER_SCHEMA), RETAILERS)
     write_csv(root / "risk" / "daily", "features_district_risk", names(DISTRICT_SCHEMA), DISTRICTS)
-    inventory = [("R001", "S1", "Seed", 5.0, "2026-05-17"), ("R001", "S1", "Seed", 5.0, "2026-05-17"),
-                 ("R002", "S1", "Seed", 7.0, "2026-05-17"), ("R999", "S1", "Seed", 9.0, "2026-05-17")]
+    inventory = [("K11", "S1", "Seed", 5.0, "2026-05-17"), ("K11", "S1", "Seed", 5.0, "2026-05-17"),
+                 ("K12", "S1", "Seed", 7.0, "2026-05-17"), ("K99", "S1", "Seed", 9.0, "2026-05-17")]
     write_csv(root / "stock", "retailer_inventory_weekly", schemas.RAW_INVENTORY.fieldNames(), inventory)
     (root / "notes.txt").write_text("not a table")
     return str(root)
@@ -40,12 +40,37 @@ def test_discovery_lists_only_csv_files_by_stem(spark, raw):
 
 def test_discovery_names_exports_after_their_folder(spark, tmp_path):
     spark.range(10).repartition(3).write.option("header", True).csv(str(tmp_path / "raw" / "numbers"))
-    assert {r["dataset"] for r in csv.discover(spark, str(tmp_path / "raw")).collect()} == {"numbers"}
-    rows = bronze.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "bronze"))
+    assert {r["dataset"] for r in csv.discover(spark, str(tmp_path / "raw"), ["numbers"]).collect()} == {"numbers"}
+    rows = bronze.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "bronze"), exported=["numbers"])
     assert rows == {"numbers": 10}  # no schema known: types are inferred
     assert dict(spark.read.parquet(str(tmp_path / "bronze" / "numbers")).dtypes)["id"] == "int"
 
 
+def test_plain_files_and_exports_of_one_dataset_are_read_together(spark, tmp_path):
+    header = names(RETAILER_SCHEMA)
+    write_csv(tmp_path / "raw", "features_retailers", header, [RETAILERS[0]])
+    write_csv(tmp_path / "raw" / "features_retailers", "part-0", header, [RETAILERS[1]])
+    write_csv(tmp_path / "raw" / "misc", "part-numbers", ["n"], [(1,), (2,)])
+    write_csv(tmp_path / "raw", "sales[2024]", ["n"], [(3,)])
+    rows = bronze.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "bronze"))
+    assert rows == {"features_retailers": 2, "part-numbers": 2, "sales[2024]": 1}
+
+
+def test_headers_are_matched_by_name(spark, tmp_path):
+    header = names(RETAILER_SCHEMA)
+    alias = [("weeks_of_stock_remaining" if c == "weeks_of_stock" else c) for c in header]
+    write_csv(tmp_path / "raw" / "a", "features_retailers", alias, [RETAILERS[0]])
+    write_csv(tmp_path / "raw" / "b", "features_retailers", header[::-1], [RETAILERS[1][::-1]])
+    write_csv(tmp_path / "raw" / "c", "features_retailers", [*header, "note"], [(*RETAILERS[2], "new")])
+    write_csv(tmp_path / "raw" / "d", "features_retailers", header[:-1], [RETAILERS[3][:-1]])
+    bronze.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "bronze"))
+    frame = spark.read.parquet(str(tmp_path / "bronze" / "features_retailers"))
+    rows = {r["retailer_id"]: r for r in frame.collect()}
+    assert [rows[k]["weeks_of_stock"] for k in ("K11", "K12", "K13", "K14")] == [6.5, 1.5, 2.0, None]
+    assert rows["K13"]["note"] == "new" and rows["K11"]["note"] is None
+    assert all(r[csv.CORRUPT_RECORD] is None for r in rows.values())
+
+
 def test_files_of_one_stem_in_two_folders_are_one_dataset(spark, tmp_path):
     for folder, row in (("north", RETAILERS[0]), ("south", RETAILERS[1])):
         write_csv(tmp_path / "raw" / folder, "features_retailers", names(RETAILER_SCHEMA), [row])
@@ -59,9 +84,9 @@ def test_bad_text_is_kept_aside_and_becomes_null(spark, tmp_path):
     write_csv(tmp_path / "raw", "features_retailers", header, [RETAILERS[0], bad])
     bronze.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "bronze"))
     rows = {r["retailer_id"]: r for r in spark.read.parquet(str(tmp_path / "bronze" / "features_retailers")).collect()}
-    assert rows["R001"][csv.CORRUPT_RECORD] is None and rows["R001"]["avg_weekly_revenue"] == 45000.0
-    assert "n/a" in rows["R002"][csv.CORRUPT_RECORD] and rows["R002"]["avg_weekly_revenue"] is None
-    assert rows["R002"]["stockout_events"] == 5
+    assert rows["K11"][csv.CORRUPT_RECORD] is None and rows["K11"]["avg_weekly_revenue"] == 60000.0
+    assert "n/a" in rows["K12"][csv.CORRUPT_RECORD] and rows["K12"]["avg_weekly_revenue"] is None
+    assert rows["K12"]["stockout_events"] == 4
 
 
 def test_ingest_metadata(spark, raw, tmp_path):
@@ -97,7 +122,7 @@ def test_whole_run(spark, raw, tmp_path):
 
 def test_freshness_and_referential_rules_join_the_suites(spark, raw, tmp_path):
     lake = str(tmp_path / "lake")
-    master = spark.createDataFrame([("Pune",), ("Surat",), ("Nashik",), ("Jaipur",)], "district string")
+    master = spark.createDataFrame([("Velm",), ("Sorra",), ("Quill",), ("Brask",)], "district string")
     medallion.run(spark, raw, lake, run_id="r1", max_age_hours=48, district_master=master)
     rules = {
         (r["table"], r["rule"]): r["fail_count"]
