@@ -8,7 +8,7 @@ both reach their thresholds, with a support of at least ``MIN_TEXTS`` different
 Such terms are marked wherever they occur, and sanitising generalises entities to their
 kind and removes the terms.
 
-Counts cover all documents; equal texts count once.  A bitmap of fixed size rules out
+Counts cover all documents; for the support equal texts count once.  A bitmap of fixed size rules out
 most words inside the scan, exact joins decide.
 
 Defined results: null and empty texts have no spans; matches that fail their test are
@@ -171,27 +171,50 @@ def _terms_in(bitmap: np.ndarray):
     return run
 
 
+def _texts_with(bitmap: np.ndarray):
+    """Per piece of a batch: how many of its texts hold each term that may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ta.pieces(batch, "text", 1 << 21):
+                words = ta.Words(part.column("text"))
+                at = np.flatnonzero(maybe_in(bitmap, words.hash))
+                hashes, text = words.hash[at], words.text[at]
+                order = np.lexsort((text, hashes))
+                hashes, text = hashes[order], text[order]
+                once = np.ones(len(hashes), bool)
+                once[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+                terms, n = np.unique(hashes[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+
+    return run
+
+
 def find(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure: float = MIN_DISCLOSURE, min_bits: float = MIN_BITS) -> DataFrame:
     """doc_id, text_key, n_email, n_ip, n_card, n_phone, base and terms (lists of spans)."""
     rows = input_columns(docs, "doc_id", "text").withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *BASE.fields])
     base = stage(rows.mapInArrow(_find, schema), "entities")
-    # Texts per (term, entity); equal texts are one.
-    met = base.filter(F.size("near_term") > 0).select("text_key", F.explode(F.arrays_zip("near_term", "near_entity")).alias("z"))
-    met = met.select("text_key", F.col("z.near_term").alias("term"), F.col("z.near_entity").alias("entity")).distinct()
-    pairs = stage(met.groupBy("term", "entity").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_texts), "term-entity")
-    entities = met.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    places = stage(rows.mapInArrow(_terms_in(hash_filter(pairs, "term")), "text_key string, term long, start long, end long").join(pairs.select("term").distinct(), "term"), "term-places")
-    texts = places.select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = base.agg(F.approx_count_distinct("text_key", 0.01)).first()[0]  # only its logarithm counts
+    met = base.filter(F.size("near_term") > 0)
+    near = met.select("text_key", F.explode(F.arrays_zip("near_term", "near_entity")).alias("z"))
+    pairs = stage(
+        near.groupBy(F.col("z.near_term").alias("term"), F.col("z.near_entity").alias("entity"))
+        .agg(F.count("*").alias("n_both"), F.count_distinct("text_key").alias("texts"))
+        .filter(F.col("texts") >= min_texts),
+        "term-entity",
+    )
+    entities = met.select(F.explode(F.array_distinct("near_entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    counted = rows.mapInArrow(_texts_with(hash_filter(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     share = F.col("n_both") / F.col("n_term")
-    telling = (
-        pairs.join(texts, "term").join(entities, "entity")
-        .filter((share >= min_disclosure) & (F.log2(share * F.lit(float(max(total, 1))) / F.col("n_entity")) >= min_bits))
-        .select("term").distinct()
+    telling = stage(
+        pairs.join(counted, "term").join(entities, "entity")
+        .filter((share >= min_disclosure) & (F.log2(share * F.lit(float(max(base.count(), 1))) / F.col("n_entity")) >= min_bits))
+        .select("term").distinct(),
+        "telling-terms",
     )
+    places = rows.mapInArrow(_terms_in(hash_filter(telling, "term")), "text_key string, term long, start long, end long").join(telling, "term")
     spans = (
-        places.distinct().join(telling, "term").groupBy("text_key")
+        places.select("text_key", "start", "end").distinct().groupBy("text_key")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"))  # part of the text's own result
         .select(F.col("text_key").alias("k"), F.transform("at", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"])).alias("terms"))
     )
