@@ -91,7 +91,11 @@ def _document_hashes(bitmap: np.ndarray, lengths: list[int]):
                 hashes, owner = hashes[first], owner[first]
                 ends = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))
-                text = pa.compute.if_else(pa.array(np.diff(ends) > 0), part.column("text"), pa.scalar(None, part.column("text").type))
+                kept = np.where(np.diff(ends) > 0, np.arange(len(part)), -1)
+                # Texts without a candidate are left out: a null index takes a null.
+                text = part.column("text").take(pa.array(kept, mask=kept < 0))
+                if isinstance(text, pa.ChunkedArray):
+                    text = text.combine_chunks()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_key"), pa.array(words.count.astype(np.int64)), found, text.cast(pa.string())],
                     ["doc_id", "text_key", "n_words", "hashes", "text"],
