@@ -8,11 +8,11 @@ similarity of the weighted shingles.  BANDS bands of ROWS places each give the b
 keys.
 
 Inside a bucket nothing is paired with everything.  First each text is held against
-one text of its bucket, another one in every band, and the verified links are joined
-into classes.  Only members of one bucket that are still in different classes are then
-paired, so no two texts of a common bucket remain untested unless they are already
-linked through others.  A link needs a Jaccard similarity of shingle sets of at least
-``SIMILARITY``, computed exactly.
+two texts of its bucket, the hubs, and the verified links are joined into classes.
+Members of one bucket that are still in different classes are then paired where they
+share a deviation from their hub that a link between them would need (``beyond_hub``):
+what is left out cannot be a link.  A link needs a Jaccard similarity of shingle sets
+of at least ``SIMILARITY``, computed exactly.
 
 Defined results: equal texts are one class; a text of fewer than five words is a single
 shingle; null and wordless texts are never duplicates; repeated rows are duplicates of
@@ -43,6 +43,7 @@ PLACES = BANDS * ROWS
 
 _U = np.uint64
 _ID_BITS = _U((1 << 24) - 1)
+_SLACK = 1e-6  # above any rounding error of the bounds on counts
 
 
 def weighted(words: ta.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,6 +127,87 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(_similar, "a long, b long, jaccard double").filter(F.col("jaccard") >= similarity)
 
 
+def _tolerance(similarity: float) -> float:
+    """Sets x and y are similar if and only if |x ^ y| <= _tolerance * (|x| + |y|)."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def _deviations(similarity: float):
+    """Function on batches: in what shingles a text and its hub differ, as far as needed.
+
+    The deviations of a text come in an order that all texts of a hub share: shingles
+    the hub lacks, then those the text lacks, each by hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = _tolerance(similarity)
+        for batch in batches:
+            for part in ta.pieces(batch, "text", 1 << 20):
+                both = pa.concat_arrays([part.column("text").cast(pa.string()), part.column("hub_text").cast(pa.string())])
+                hashes, owner, _ = weighted(ta.Words(both))
+                n = len(part)
+                pair, lacking = owner % n, owner // n
+                _, first, count = np.unique(ta.mix(pair.astype(_U) + _U(77)) ^ hashes, return_index=True, return_counts=True)
+                own, hub = np.split(np.bincount(owner, minlength=2 * n), 2)
+                shared = np.bincount(pair[first[count > 1]], minlength=n)
+                linked = shared / np.maximum(own + hub - shared, 1) >= similarity
+                alone = first[count == 1]
+                alone = alone[np.lexsort((hashes[alone], lacking[alone], pair[alone]))]
+                d = np.bincount(pair[alone], minlength=n)
+                least = np.where(linked, d + r * (hub - own), d - r * (own + hub)) / 2
+                length = np.clip(np.floor(d - least + _SLACK).astype(np.int64) + 1, 0, d)
+                rank = np.arange(len(alone)) - np.repeat(np.cumsum(d) - d, d)
+                kept = alone[rank < np.repeat(length, d)]
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                marks = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[kept].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("hub", "v", "label")), pa.array(own), pa.array(hub), pa.array(d), pa.array(linked), marks],
+                    ["hub", "v", "label", "n", "n_hub", "d", "linked", "marks"],
+                )
+
+    return run
+
+
+def beyond_hub(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of a hub, of different label, that can be similar.
+
+    ``members`` has hub, v and label; members similar to the same hub share a label.
+    Let D(x) be the shingles in which x and its hub h differ.  x ^ y = D(x) ^ D(y), so
+    with r = _tolerance a link between x and y needs
+
+        |D(x) & D(y)| >= s = (|D(x)| + |D(y)| - r (|x| + |y|)) / 2.
+
+    One of the two, say y, is not similar to h: |D(y)| > r (|y| + |h|), and as |D(x)| is
+    at least the difference of the sizes of x and h, s is above 0.  Sets in a common
+    order that share s elements share one among the first |D| - s + 1 of either, hence
+    an equality join on single deviations finds every link.  The partner y not being
+    similar, s > (|D(x)| + r (|h| - |x|)) / 2: that bounds what x needs of D(x).
+    Copies with edits of their own share few such shingles, however many copies there
+    are, so the rows made follow the deviations and not the square of a group.
+    """
+    r = _tolerance(similarity)
+    own = texts.select("v", "text")
+    hubs = texts.select(F.col("v").alias("hub"), F.col("text").alias("hub_text"))
+    schema = "hub long, v long, label long, n long, n_hub long, d long, linked boolean, marks array<long>"
+    found = members.filter("v <> hub").join(own, "v").join(hubs, "hub").select("hub", "v", "label", "text", "hub_text")
+    deviating = stage(found.mapInArrow(_deviations(similarity), schema), "deviations")
+    needed = ((F.col("d") - r * (F.col("n_hub") - F.col("n"))) / 2 + _SLACK + 1).cast("int")
+    x, y = (
+        side.select("hub", *[F.col(c).alias(f"{c}_{s}") for c in ("v", "label", "n", "d", "linked")], F.posexplode("marks").alias(f"at_{s}", "mark"))
+        for side, s in (
+            (deviating.withColumn("marks", F.slice("marks", 1, F.greatest(needed, F.lit(0)))), "x"),
+            (deviating.filter("NOT linked"), "y"),
+        )
+    )
+    s = (F.col("d_x") + F.col("d_y") - r * (F.col("n_x") + F.col("n_y"))) / 2
+    within = (F.col("at_x") <= F.col("d_x") - s + _SLACK) & (F.col("at_y") <= F.col("d_y") - s + _SLACK)
+    once = F.col("linked_x") | (F.col("v_x") < F.col("v_y"))
+    alike = F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y")  # else their Jaccard is lower
+    apart = (F.col("label_x") != F.col("label_y")) & once & alike & within
+    pairs = x.join(y, ["hub", "mark"]).filter(apart)
+    return pairs.select(F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")).distinct()
+
+
 def classes(links: DataFrame) -> DataFrame:
     """v, label: the least vertex of the connected component of every linked vertex.
 
@@ -183,13 +265,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     texts = stage(rows.join(involved, "text_key").select("v", "text").dropDuplicates(["v"]), "texts")
     links = stage(verify(first, texts, similarity), "links-found")
     labels = stage(classes(links), "labels")
-    named = crowded.select("bucket", "v", "n").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    named = crowded.select("bucket", "v", F.col("hubs")[0].alias("hub")).join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    open_ = stage(named.join(split, "bucket"), "open-buckets")
-    x, y = (open_.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("v", "n", "label")]) for s in "xy")
-    close = (F.col("v_x") < F.col("v_y")) & (F.col("label_x") != F.col("label_y"))
-    alike = F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y")  # else their Jaccard is lower
-    second = x.join(y, "bucket").filter(close & alike).select(F.col("v_x").alias("a"), F.col("v_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    open_ = named.join(split, "bucket").select("hub", "v", "label").distinct()
+    second = beyond_hub(open_, texts, similarity).join(first, ["a", "b"], "left_anti")
     more = stage(verify(second, texts, similarity), "links-more")
     merged = stage(classes(links.union(more).select("a", "b")), "labels")
     label = vertices.select("text_key", "v").join(merged, "v", "left").select("text_key", F.coalesce("label", "v").alias("label"))

@@ -120,6 +120,43 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sum(r["keep"] for r in found) == len({root(d) for d, _ in docs})
 
 
+@pytest.mark.parametrize("edits", [(1, 3, 5), (4, 5, 6, 7), (0, 9, 30)])
+def test_no_link_is_lost_beyond_the_hub(spark, edits):
+    rnd = random.Random(sum(edits))
+    base = [f"w{i}" for i in range(120)]
+    texts = [list(base)]
+    for _ in range(60):  # edited copies of the hub, and of one another
+        copy = list(rnd.choice([base, texts[rnd.randrange(len(texts))]]))
+        for _ in range(rnd.choice(edits)):
+            at = rnd.randrange(len(copy))
+            copy[at : at + rnd.choice([0, 1, 1])] = rnd.choice([[], [f"n{rnd.randrange(40)}"]])
+        texts.append(copy[: rnd.choice([len(copy), len(copy), 95])])
+    sets = [set(zip(*[t[i:] for i in range(5)])) for t in texts]
+
+    def alike(a, b):
+        return len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    label = {v: 0 if alike(0, v) else v for v in range(len(texts))}
+    members = spark.createDataFrame([(0, v, label[v]) for v in label], "hub long, v long, label long")
+    frame = spark.createDataFrame([(v, " ".join(t)) for v, t in enumerate(texts)], "v long, text string")
+    found = {(r["a"], r["b"]) for r in neardup.beyond_hub(members, frame, 0.8).collect()}
+    links = {(a, b) for b in label for a in range(b) if label[a] != label[b] and alike(a, b)}
+    assert links and links <= found
+
+
+def test_copies_with_edits_of_their_own_are_not_paired(spark):
+    rnd = random.Random(3)
+    texts = [[f"w{i}" for i in range(200)]]
+    for v in range(150):
+        copy = list(texts[0])
+        for at in rnd.sample(range(2, 198), 12):
+            copy[at] = f"own{v}x{at}"
+        texts.append(copy)
+    members = spark.createDataFrame([(0, v, v) for v in range(len(texts))], "hub long, v long, label long")
+    frame = spark.createDataFrame([(v, " ".join(t)) for v, t in enumerate(texts)], "v long, text string")
+    assert neardup.beyond_hub(members, frame, 0.8).count() < 150
+
+
 def test_near_duplicates_odd_input(odd, empty):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and sorted(r["class_size"] for r in rows) == [1] * 7 + [3] * 3
