@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from fieldmart.llm import textarrays as ta
 from fieldmart.llm.frames import input_columns
@@ -133,33 +134,24 @@ def _tolerance(similarity: float) -> float:
 
 
 def _deviations(similarity: float):
-    """Function on batches: in what shingles a text and its hub differ, as far as needed.
-
-    The deviations of a text come in an order that all texts of a hub share: shingles
-    the hub lacks, then those the text lacks, each by hash.
-    """
+    """Function on batches: all shingles that only one of a text and its hub has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = _tolerance(similarity)
         for batch in batches:
             for part in ta.pieces(batch, "text", 1 << 20):
                 both = pa.concat_arrays([part.column("text").cast(pa.string()), part.column("hub_text").cast(pa.string())])
                 hashes, owner, _ = weighted(ta.Words(both))
                 n = len(part)
-                pair, lacking = owner % n, owner // n
+                pair = owner % n
                 _, first, count = np.unique(ta.mix(pair.astype(_U) + _U(77)) ^ hashes, return_index=True, return_counts=True)
                 own, hub = np.split(np.bincount(owner, minlength=2 * n), 2)
                 shared = np.bincount(pair[first[count > 1]], minlength=n)
                 linked = shared / np.maximum(own + hub - shared, 1) >= similarity
                 alone = first[count == 1]
-                alone = alone[np.lexsort((hashes[alone], lacking[alone], pair[alone]))]
+                alone = alone[np.argsort(pair[alone], kind="stable")]
                 d = np.bincount(pair[alone], minlength=n)
-                least = np.where(linked, d + r * (hub - own), d - r * (own + hub)) / 2
-                length = np.clip(np.floor(d - least + _SLACK).astype(np.int64) + 1, 0, d)
-                rank = np.arange(len(alone)) - np.repeat(np.cumsum(d) - d, d)
-                kept = alone[rank < np.repeat(length, d)]
-                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                marks = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[kept].view(np.int64)))
+                ends = np.concatenate([[0], np.cumsum(d)]).astype(np.int32)
+                marks = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[alone].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("hub", "v", "label")), pa.array(own), pa.array(hub), pa.array(d), pa.array(linked), marks],
                     ["hub", "v", "label", "n", "n_hub", "d", "linked", "marks"],
@@ -182,8 +174,10 @@ def beyond_hub(members: DataFrame, texts: DataFrame, similarity: float) -> DataF
     order that share s elements share one among the first |D| - s + 1 of either, hence
     an equality join on single deviations finds every link.  The partner y not being
     similar, s > (|D(x)| + r (|h| - |x|)) / 2: that bounds what x needs of D(x).
-    Copies with edits of their own share few such shingles, however many copies there
-    are, so the rows made follow the deviations and not the square of a group.
+    The order is by frequency within the hub, rare ones first; deviations that no pair
+    in question shares come before all and are only counted.  Copies with edits of
+    their own share few rare ones, however many copies there are, so the rows made
+    follow the deviations and not the square of a group.
     """
     r = _tolerance(similarity)
     own = texts.select("v", "text")
@@ -191,13 +185,25 @@ def beyond_hub(members: DataFrame, texts: DataFrame, similarity: float) -> DataF
     schema = "hub long, v long, label long, n long, n_hub long, d long, linked boolean, marks array<long>"
     found = members.filter("v <> hub").join(own, "v").join(hubs, "hub").select("hub", "v", "label", "text", "hub_text")
     deviating = stage(found.mapInArrow(_deviations(similarity), schema), "deviations")
-    needed = ((F.col("d") - r * (F.col("n_hub") - F.col("n"))) / 2 + _SLACK + 1).cast("int")
+    one = deviating.select("hub", "v", "label", "linked", F.explode("marks").alias("mark"))
+    counts = (
+        one.groupBy("hub", "mark").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("linked").alias("all_linked"))
+        .filter("f > 1 AND low < high AND NOT all_linked").select("hub", "mark", "f")
+    )
+    mine = Window.partitionBy("hub", "v")
+    at = F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("f", "mark")) - 1
+    # What may be needed with a partner not similar to the hub, and with any partner.
+    open_partner = F.col("at") <= (F.col("d") - r * (F.col("n_hub") - F.col("n"))) / 2 + _SLACK
+    any_partner = F.col("at") <= (F.col("d") + r * (F.col("n") + F.col("n_hub"))) / 2 + _SLACK
+    sizes = deviating.select("hub", "v", "n", "n_hub", "d")
+    ranked = stage(
+        one.join(counts, ["hub", "mark"]).join(sizes, ["hub", "v"]).withColumn("at", at)
+        .filter(F.when(F.col("linked"), open_partner).otherwise(any_partner)),
+        "ranked-deviations",
+    )
     x, y = (
-        side.select("hub", *[F.col(c).alias(f"{c}_{s}") for c in ("v", "label", "n", "d", "linked")], F.posexplode("marks").alias(f"at_{s}", "mark"))
-        for side, s in (
-            (deviating.withColumn("marks", F.slice("marks", 1, F.greatest(needed, F.lit(0)))), "x"),
-            (deviating.filter("NOT linked"), "y"),
-        )
+        side.select("hub", "mark", *[F.col(c).alias(f"{c}_{s}") for c in ("v", "label", "n", "d", "linked", "at")])
+        for side, s in ((ranked.filter(open_partner), "x"), (ranked.filter("NOT linked"), "y"))
     )
     s = (F.col("d_x") + F.col("d_y") - r * (F.col("n_x") + F.col("n_y"))) / 2
     within = (F.col("at_x") <= F.col("d_x") - s + _SLACK) & (F.col("at_y") <= F.col("d_y") - s + _SLACK)

@@ -151,7 +151,7 @@ def test_copies_with_edits_of_their_own_are_not_paired(spark):
         copy = list(texts[0])
         for at in rnd.sample(range(2, 198), 12):
             copy[at] = f"own{v}x{at}"
-        texts.append(copy)
+        texts.append(copy + "with one closing line that all of them share".split())
     members = spark.createDataFrame([(0, v, v) for v in range(len(texts))], "hub long, v long, label long")
     frame = spark.createDataFrame([(v, " ".join(t)) for v, t in enumerate(texts)], "v long, text string")
     assert neardup.beyond_hub(members, frame, 0.8).count() < 150
