@@ -1,15 +1,19 @@
 """Operator 9: personal data by pattern, and terms that give protected entities away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected
-entities.  Then the corpus tells which terms reveal one.  A term t stands within
-``WINDOW`` words of an entity e in n(t, e) different texts and occurs in n(t) texts at
-all; it discloses e if P(e | t) = n(t, e) / n(t) and the information log2(P(e | t) / P(e))
-both reach their thresholds, with a support of at least ``MIN_TEXTS`` different texts.
-Such terms are marked wherever they occur, and sanitising generalises entities to their
-kind and removes the terms.
-
-Counts cover all documents; for the support equal texts count once.  A bitmap of fixed size rules out
-most words inside the scan, exact joins decide.
+entities.  Then the corpus tells which terms reveal one.  An entity counts as its value
+and as the groups it belongs to (its kind; domain and owner name of an e-mail address),
+because most values stand in one text only.  A term t stands within ``WINDOW`` words of
+an entity or group e in n(t, e) texts and occurs in n(t) texts at all; it discloses e if
+P(e | t) = n(t, e) / n(t) reaches ``MIN_DISCLOSURE``, with a support of at least
+``MIN_TEXTS`` different texts, and such a share by chance has a probability of at most
+``MAX_CHANCE``, given the share of texts that show e.  None of the thresholds depends on
+the size of the table.  Such terms are marked wherever they occur, and sanitising
+generalises entities to their kind and removes the terms.
+
+P(e | t) covers all documents; for the support and the share of texts that show e equal
+texts count once.  A bitmap of fixed size rules out most words inside the scan, exact
+joins decide.
 
 Defined results: null and empty texts have no spans; matches that fail their test are
 dropped and not tried again; repeated rows get equal results; an empty table gives an
@@ -19,12 +23,13 @@ empty result; other columns are kept by ``sanitise`` and ignored otherwise.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +40,14 @@ from fieldmart.sources.staging import stage
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 3
 MIN_TEXTS = 3
-#: Least share of a term's texts that show the same entity, and least bits it gives away.
+#: Least share of a term's texts that show the same entity, and least log2 odds ratio
+#: against all texts.
 MIN_DISCLOSURE = 0.5
-MIN_BITS = 8.0
+MIN_BITS = 1.0
+#: Most probability (Chernoff bound) of the share if the term had nothing to do with the entity.
+MAX_CHANCE = 0.01
+#: One in so many texts is counted first, to rule out common words.
+PARTS = 16
 #: Shorter words are never terms.
 MIN_TERM_BYTES = 3
 
@@ -95,6 +105,16 @@ def entity(kind: str, text: str) -> str:
     return f"{kind}:{text.lower() if kind == 'email' else re.sub('[^0-9.]' if kind == 'ip' else '[^0-9]', '', text)}"
 
 
+def levels(kind: str, text: str) -> list[str]:
+    """The entity and the groups it belongs to: its kind; domain and owner name of an address."""
+    found = [entity(kind, text), f"kind:{kind}"]
+    if kind == "email":
+        local, _, domain = text.lower().partition("@")
+        owner = ".".join(re.findall("[a-z]+", local))
+        found += [f"domain:{domain}", *([f"owner:{owner}"] if owner else [])]
+    return found
+
+
 _WORD = re.compile(ta.WORD_RE)
 _ANY_DIGIT = re.compile("[0-9]")
 _UPPER = {c: chr(c + 32) for c in range(65, 91)}
@@ -106,19 +126,19 @@ def _hash(word: str) -> int:
 
 
 def _near(text: str, spans) -> set[tuple[str, str]]:
-    """(term, entity) for the words around each entity, entities themselves left out."""
+    """(term, entity or group) for the words around each entity, entities themselves left out."""
     found = set()
     taken = sorted((a, b) for _, a, b in spans)
     clear = lambda a, b: not any(x < b and a < y for x, y in taken)
     for kind, start, end in spans:
-        name = entity(kind, text[start:end])
+        names = levels(kind, text[start:end])
         left = [m for m in _WORD.finditer(text, max(0, start - 40 * WINDOW), start)]
         right = [m for m in _WORD.finditer(text, end, min(len(text), end + 40 * WINDOW))]
         left = [m for m in left if m.start() > 0 or start < 40 * WINDOW][-WINDOW:]
         for m in left + right[:WINDOW]:
             word = m[0].translate(_UPPER)
             if len(word.encode()) >= MIN_TERM_BYTES and not word.isdigit() and clear(*m.span()):
-                found.add((word, name))
+                found.update((word, name) for name in names)
     return found
 
 
@@ -127,6 +147,7 @@ BASE = T.StructType([
     *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:4]],
     T.StructField("base", T.ArrayType(T.StringType())),
     T.StructField("near_term", T.ArrayType(T.LongType())), T.StructField("near_entity", T.ArrayType(T.StringType())),
+    T.StructField("entities", T.ArrayType(T.StringType())),
 ])
 
 
@@ -137,15 +158,16 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in part.column("text").to_pylist():
                 spans = base_spans(text) if text and _ANY_DIGIT.search(text) or text and "@" in text else []
                 near = sorted(_near(text, spans)) if spans else []
-                rows.append((spans, near))
-            terms = sorted({t for _, near in rows for t, _ in near})
+                rows.append((spans, near, sorted({e for k, a, b in spans for e in levels(k, text[a:b])})))
+            terms = sorted({t for _, near, _ in rows for t, _ in near})
             codes = dict(zip(terms, ta.Words(pa.array(terms, pa.string())).hash.view(np.int64).tolist(), strict=True)) if terms else {}
             columns = [
                 part.column("text_key"),
-                *[pa.array([sum(s[0] == k for s in spans) for spans, _ in rows], pa.int64()) for k in KINDS[:4]],
-                pa.array([[f"{k}:{a}:{b}" for k, a, b in spans] for spans, _ in rows], pa.list_(pa.string())),
-                pa.array([[codes[t] for t, _ in near] for _, near in rows], pa.list_(pa.int64())),
-                pa.array([[e for _, e in near] for _, near in rows], pa.list_(pa.string())),
+                *[pa.array([sum(s[0] == k for s in spans) for spans, _, _ in rows], pa.int64()) for k in KINDS[:4]],
+                pa.array([[f"{k}:{a}:{b}" for k, a, b in spans] for spans, _, _ in rows], pa.list_(pa.string())),
+                pa.array([[codes[t] for t, _ in near] for _, near, _ in rows], pa.list_(pa.int64())),
+                pa.array([[e for _, e in near] for _, near, _ in rows], pa.list_(pa.string())),
+                pa.array([shown for _, _, shown in rows], pa.list_(pa.string())),
             ]
             rest = [n for n in part.schema.names if n not in ("text", "text_key")]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), *columns], [*rest, *BASE.fieldNames()])
@@ -190,7 +212,19 @@ def _texts_with(bitmap: np.ndarray):
     return run
 
 
-def find(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure: float = MIN_DISCLOSURE, min_bits: float = MIN_BITS) -> DataFrame:
+def _tells(min_disclosure: float, min_bits: float, max_chance: float) -> Column:
+    """Whether a term discloses an entity, from n_both, n_term, texts and p, the share of texts that show it."""
+    s, p = F.col("n_both") / F.col("n_term"), F.col("p")
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    # Chernoff: a share s of n draws has at most probability exp(-n KL(s, p)); n = texts / s.
+    rarity = F.when(p < 1, F.col("texts") / s * (part(s, p) + part(1 - s, 1 - p))).otherwise(0.0)
+    raised = s * (1 - p) >= 2.0**min_bits * p * (1 - s)
+    return (s >= min_disclosure) & (s > p) & raised & (rarity >= -math.log(max_chance))
+
+
+def find(
+    docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure: float = MIN_DISCLOSURE, min_bits: float = MIN_BITS, max_chance: float = MAX_CHANCE
+) -> DataFrame:
     """doc_id, text_key, n_email, n_ip, n_card, n_phone, base and terms (lists of spans)."""
     rows = input_columns(docs, "doc_id", "text").withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *BASE.fields])
@@ -203,12 +237,20 @@ def find(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure: float = MI
         .filter(F.col("texts") >= min_texts),
         "term-entity",
     )
-    entities = met.select(F.explode(F.array_distinct("near_entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    counted = rows.mapInArrow(_texts_with(hash_filter(pairs, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    share = F.col("n_both") / F.col("n_term")
+    entities = base.select("text_key", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count_distinct("text_key").alias("n_entity"))
+    n_texts = max(base.select(F.count_distinct("text_key")).first()[0], 1)
+    count = lambda part, of, name: part.mapInArrow(_texts_with(hash_filter(of, "term")), "term long, n long").groupBy("term").agg(F.sum("n").alias(name))
+    # Terms that stand in too many texts of a part already can't reach the share in all: common words drop out.
+    part = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == 0)
+    pairs = stage(
+        pairs.join(count(part, pairs, "n_part"), "term", "left").filter(F.coalesce("n_part", F.lit(0)) * min_disclosure <= F.col("n_both")).drop("n_part"),
+        "likely-pairs",
+    )
+    counted = count(rows, pairs, "n_term")
     telling = stage(
         pairs.join(counted, "term").join(entities, "entity")
-        .filter((share >= min_disclosure) & (F.log2(share * F.lit(float(max(base.count(), 1))) / F.col("n_entity")) >= min_bits))
+        .withColumn("p", F.col("n_entity") / F.lit(float(n_texts)))
+        .filter(_tells(min_disclosure, min_bits, max_chance))
         .select("term").distinct(),
         "telling-terms",
     )

@@ -312,6 +312,31 @@ def test_telling_terms_are_removed(spark, odd, empty):
     assert pii.sanitise(empty).count() == 0
 
 
+def test_terms_tell_entities_of_any_level_in_tables_of_any_size(spark):
+    def marked(docs):
+        frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+        return {docs[r["doc_id"]][int(a) : int(b)] for r in pii.find(frame).collect() for _, a, b in (s.split(":") for s in r["terms"])}
+
+    def filler(n):
+        return [f"common words stand here as filler{i} does" for i in range(n)]
+
+    def beside(address, term, n):  # no neighbour but the term is met again elsewhere
+        return [f"x{i}a x{i}b common x{i}c {term} here {address(i)} words y{i}a y{i}b" for i in range(n)]
+
+    same = beside(lambda i: "ann@mail.org", "zorblax", 3)
+    assert all(marked(same + filler(n)) == {"zorblax"} for n in (30, 700, 3000))
+    assert marked(same + beside(lambda i: "", "zorblax", 4) + filler(30)) == set()
+    # Every value once: the domain, the owner's name and the kind have the support.
+    assert marked(beside(lambda i: f"u{i}x@corp.example", "quuxly", 4) + filler(60)) == {"quuxly"}
+    assert marked(beside(lambda i: f"ann.{i}@m{i}.example", "quuxly", 4) + filler(60)) == {"quuxly"}
+    assert marked(beside(lambda i: f"10.{i}.2.7", "quuxly", 4) + filler(60)) == {"quuxly"}
+    # An address that a third of all rows show.
+    assert marked(beside(lambda i: "info@hot.example", "hotline", 300) + filler(600)) == {"hotline"}
+    # All texts show it, or copies of one text do: nothing is given away.
+    assert marked(beside(lambda i: "info@hot.example", "hotline", 30)) == set()
+    assert marked(beside(lambda i: "info@hot.example", "hotline", 1) * 300 + filler(600)) == set()
+
+
 def test_shards_are_even_and_gapless(spark, odd, empty):
     docs = [(i, "x" * (i % 90)) for i in range(2000)] + [(5000 + i, "hot text") for i in range(1000)]
     rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect()
