@@ -6,8 +6,7 @@ documents, one of the whole corpus.  A document's score is the mean log ratio of
 features, so length does not matter, and every document is held against the same
 threshold.  Everything is built from DataFrame functions.
 
-The corpus model covers all documents.  The trusted model is fitted on at most
-``max_trusted`` labelled rows, taken in the order of a hash of their ids.
+The corpus model covers all documents, the trusted model all documents labelled 1.
 
 Defined results: a null text has no words, lines or symbols and fails the base rules;
 repeated rows get equal results; with no trusted row the ratio is 0 everywhere, so the
@@ -30,7 +29,6 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 BUCKETS = 1 << 16
-MAX_TRUSTED = 20_000
 #: Lowest mean log ratio that is kept.
 THRESHOLD = -0.1
 
@@ -96,15 +94,13 @@ def buckets(tokens: Column) -> Column:
     )
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with an array of BUCKETS log ratios, trusted over raw.
 
     Every bucket has one pseudo-count in proportion to the raw corpus, so features that
     the trusted rows are too few to show count little.
     """
     trusted = labels.filter("quality = 1").select(F.col("doc_id").alias("t_id")).distinct()
-    # At most max_trusted ids: a broadcast of fixed size.
-    trusted = F.broadcast(trusted.orderBy(F.xxhash64("t_id"), "t_id").limit(max_trusted))
     flagged = docs.join(trusted, F.col("doc_id") == F.col("t_id"), "left").select(
         F.explode(buckets(words(F.lower("text")))).alias("bucket"), F.col("t_id").isNotNull().cast("int").alias("is_trusted")
     )
@@ -121,10 +117,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTE
     )
 
 
-def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept for every document."""
     rows = input_columns(docs, "doc_id", "text")
-    ratios = log_ratios(rows, input_columns(labels, "doc_id", "quality"), max_trusted).scalar()
+    ratios = log_ratios(rows, input_columns(labels, "doc_id", "quality")).scalar()
     rows = rows.withColumn("ratios", ratios)
     mean = let(
         buckets(words(F.lower("text"))),

@@ -268,6 +268,14 @@ def test_quality_counts_equal_brute_force(spark, odd):
     assert quality.assess(odd, labels).count() == len(ODD)
 
 
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, "alpha").otherwise("beta").alias("text"))
+    good = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    strangers = spark.range(1000, 61_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    few, many = (quality.log_ratios(docs, labels).first()["ratios"] for labels in (good, good.unionByName(strangers)))
+    assert few == many and max(few) > 0
+
+
 def test_languages_and_mixtures(spark, odd, empty):
     en, de = "the house and the garden with this other thing that was here", "und das haus mit dem garten der nicht immer schön gewesen ist"
     docs = [(i, " ".join(random.Random(i).choices((en if i % 2 else de).split(), k=60)), "en" if i % 2 else "de") for i in range(200)]
