@@ -56,37 +56,53 @@ REPORTING = frozenset(
 )
 
 
+#: What a word counts that is one edit from a term of four letters.
+WEAK = 0.5
+
+
 def allowed_edits(term: str) -> int:
-    """Edits that still count as the same term: none for short ones."""
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    """Edits that still count as the same term: none for short ones.
+
+    A stem of four letters has none either: with any rest, one edit leaves too little of it.
+    """
+    return 0 if len(term.rstrip("*")) < 4 or term.endswith("*") and len(term) < 6 else 1 if len(term.rstrip("*")) < 8 else 2
 
 
 class Lexicon:
     """Terms in a trie, intersected with Levenshtein automata.  Stems end with ``*``.
 
+    Behind a stem's last letter follows the node ``REST``, which any letter leads back to.
+
     A state is a set of (trie node, edits so far): all places of the lexicon that a word
     may have reached.  States and steps are worked out when a word first needs them and
     kept, so matching a word costs one look-up per letter.
     """
 
+    REST = 1
+
     def __init__(self, terms: list[str]):
-        self.stems = tuple(t[:-1] for t in terms if t.endswith("*"))
-        self.children: list[dict[str, int]] = [{}]
+        self.children: list[dict[str, int]] = [{}, {}]
         self.ends: dict[int, int] = {}  # node -> edits allowed for the term that ends there
-        self.limit = [0]  # most edits allowed for any term below
+        self.stems: dict[int, int] = {}  # the same for stems
+        self.limit = [0, 0]  # most edits allowed for any term below
+        self.short: set[int] = set()  # ends of terms of four letters
         for term in terms:
-            if term.endswith("*"):
-                continue
             node, allowed = 0, allowed_edits(term)
             self.limit[0] = max(self.limit[0], allowed)
-            for ch in term:
+            for ch in term.rstrip("*"):
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
                     self.limit.append(0)
                 node = self.children[node][ch]
                 self.limit[node] = max(self.limit[node], allowed)
-            self.ends[node] = allowed
+            if term.endswith("*"):
+                self.stems[node] = allowed
+                self.limit[self.REST] = self.ends[self.REST] = max(self.limit[self.REST], allowed)
+            else:
+                self.ends[node] = allowed
+                if len(term) == 4:
+                    self.short.add(node)
         self.letters = {ch for child in self.children for ch in child}
         self._start_over()
 
@@ -94,7 +110,7 @@ class Lexicon:
         self.number: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.accepts: list[int | None] = []
+        self.accepts: list[tuple[int, bool] | None] = []
         self.first = self._state({0: 0})
 
     def _state(self, reached: dict[int, int]) -> int:
@@ -107,6 +123,9 @@ class Lexicon:
                 if edits <= self.limit[child] and edits < reached.get(child, edits + 1):
                     reached[child] = edits
                     todo.append(child)
+        rest = [reached[n] for n in reached if n in self.stems and reached[n] <= self.stems[n]]
+        if rest:
+            reached[self.REST] = min(*rest, reached.get(self.REST, rest[0]))
         if not reached:
             return -1
         key = frozenset(reached.items())
@@ -114,7 +133,7 @@ class Lexicon:
             self.number[key] = len(self.states)
             self.states.append(key)
             self.steps.append({})
-            found = [e for n, e in key if e <= self.ends.get(n, -1)]
+            found = [(e, e > 0 and n in self.short) for n, e in key if e <= self.ends.get(n, -1)]
             self.accepts.append(min(found) if found else None)
         return self.number[key]
 
@@ -126,15 +145,21 @@ class Lexicon:
                 reached[node] = edits
 
         for node, edits in self.states[state]:
+            if node == self.REST:
+                reach(node, edits)
+                continue
             reach(node, edits + 1)  # a letter too many
             for ch, child in self.children[node].items():
                 reach(child, edits + (ch != letter))
         return self._state(reached)
 
     def edits(self, word: str) -> int | None:
-        """Least number of edits to a term (0 also for a stem); None if there is no match."""
-        if self.stems and word.startswith(self.stems):
-            return 0
+        """Least number of edits to a term, or from a stem to a prefix; None if there is no match."""
+        found = self.match(word)
+        return None if found is None else found[0]
+
+    def match(self, word: str) -> tuple[int, bool] | None:
+        """The edits, and whether only terms of four letters are so near."""
         if len(self.states) > MAX_STATES:
             self._start_over()
         state, steps = self.first, self.steps
@@ -151,13 +176,16 @@ class Lexicon:
 
 
 class Matcher:
-    """Matches of a batch; each different word meets the automaton once."""
+    """Matches of a batch; each different word meets the automaton once.
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.known = lexicon, {}
+    ``own`` holds words near a term that are words of their own, not misspellings.
+    """
+
+    def __init__(self, lexicon: Lexicon, own: frozenset[str] = frozenset()):
+        self.lexicon, self.own, self.known = lexicon, own, {}
 
     def codes(self, words: ta.Words) -> np.ndarray:
-        """-1 for a word without a match, else its edits."""
+        """-1 for a word without a match, else twice its edits, and one more for a weak match."""
         if not len(words.hash):
             return np.zeros(0, np.int64)
         values, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
@@ -167,8 +195,11 @@ class Matcher:
         for k, (value, at) in enumerate(zip(values.tolist(), first.tolist(), strict=True)):
             code = known.get(value)
             if code is None:
-                d = self.lexicon.edits(words.word(at))
-                code = known[value] = -1 if d is None else d
+                word = words.word(at)
+                d = self.lexicon.match(word)
+                if d and d[0] and word in self.own:
+                    d = None
+                code = known[value] = -1 if d is None else 2 * d[0] + d[1]
             out[k] = code
         return out[inverse]
 
@@ -186,8 +217,8 @@ def is_quoted(text: str, start: int, end: int, near: list[str]) -> bool:
 FEATURES = 5
 
 
-def features(part: pa.Array, matcher: Matcher) -> np.ndarray:
-    """Per text: abuse, misspelled abuse, quoted, misspelled quoted (log counts), abuse density."""
+def features(part: pa.Array, matcher: Matcher) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: abuse, misspelled abuse, quoted, misspelled quoted (log counts), abuse density; all matches."""
     words = ta.Words(part)
     codes = matcher.codes(words)
     counts = np.zeros((len(part), 4))
@@ -205,9 +236,9 @@ def features(part: pa.Array, matcher: Matcher) -> np.ndarray:
         left = raw[max(0, a - 400) : a].decode("utf-8", "ignore")
         middle, right = raw[a:b].decode("utf-8", "ignore"), raw[b : b + 400].decode("utf-8", "ignore")
         quoted = is_quoted(left + middle + right, len(left), len(left) + len(middle), near)
-        counts[t, 2 * quoted + (codes[i] > 0)] += 1
+        counts[t, 2 * quoted + (codes[i] > 1)] += WEAK if codes[i] % 2 else 1
     density = (counts[:, 0] + counts[:, 1]) / np.maximum(words.count, 1)
-    return np.column_stack([np.log1p(counts), np.sqrt(density)])
+    return np.column_stack([np.log1p(counts), np.sqrt(density)]), np.bincount(words.text[at], minlength=len(part))
 
 
 # ---- learning ---------------------------------------------------------------------------
@@ -216,12 +247,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(text: str | None) -> set[str]:
-    """Words of four letters or more, and their stems."""
+    """Words and their stems of four letters or more."""
     found = set()
     for word in set(_LETTERS.findall((text or "").lower())):
-        if len(word) >= 4:
-            found.add(word)
-            found.update(word[:n] + "*" for n in STEM_LENGTHS if n < len(word))
+        found.add(word)
+        found.update(word[:n] + "*" for n in STEM_LENGTHS if n < len(word))
     return found
 
 
@@ -238,7 +268,7 @@ def _count_terms(wanted: frozenset | None):
 
 
 def choose_terms(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_other: int) -> list[str]:
-    """Terms with high log odds; a stem gives way to a word that explains it, and covers the rest."""
+    """Terms with high log odds; a stem gives way to a word that explains it, or to a shorter stem."""
     good = set()
     for term, a in toxic.items():
         b = other.get(term, 0)
@@ -252,7 +282,7 @@ def choose_terms(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_o
     for stem in sorted((t for t in good - explained if t.endswith("*")), key=lambda t: (len(t), t)):
         if not covered(stem[:-1]):
             kept.add(stem)
-    return sorted(kept) + [w for w in words if not covered(w)]
+    return sorted(kept) + words  # words that a stem covers as well: their misspellings count
 
 
 def evidence(a: int, b: int, n_a: int, n_b: int) -> float:
@@ -299,8 +329,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
     return docs.join(F.broadcast(taught), F.col("doc_id") == F.col("t_id")).groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray] | None:
-    """The lexicon and the model's weights, or None if the labels show only one kind."""
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], frozenset[str], np.ndarray] | None:
+    """The lexicon, words near it that are none of it, and the model's weights, or None if the labels show only one kind."""
     from fieldmart.sources.staging import stage
 
     rows = stage(training_rows(docs, labels, max_train), "toxic-train")  # max_train texts at most
@@ -316,30 +346,49 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     toxic = {r["term"]: r["n"] for r in count(1, None).filter(F.col("n") >= least).collect()}
     other = {r["term"]: r["n"] for r in count(0, frozenset(toxic)).collect()}
     terms = choose_terms(toxic, other, n_toxic, n_other)
-    examples = rows.mapInArrow(_examples(terms), f"x array<double>, toxic int").collect()  # max_train small rows
+    # Words near a term that other texts use as often: some of the sample's words.
+    near = rows.mapInArrow(_near_terms(terms), "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    own = frozenset(r["word"] for r in near.filter((F.col("n") - F.col("a")) * n_toxic >= F.col("a") * n_other).collect())
+    examples = rows.mapInArrow(_examples(terms, own), f"x array<double>, toxic int").collect()  # max_train small rows
     x = np.array([r["x"] for r in examples]).reshape(-1, FEATURES)
-    return terms, fit_logistic(x, np.array([r["toxic"] for r in examples], float))
+    return terms, own, fit_logistic(x, np.array([r["toxic"] for r in examples], float))
+
 
+def _near_terms(terms: list[str]):
+    """Words some edits away from a term, once for every text that has them."""
 
-def _examples(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(Lexicon(terms))
         for batch in batches:
             for part in ta.pieces(batch, "text", 1 << 21):
-                x = features(part.column("text"), matcher)
+                words = ta.Words(part.column("text"))
+                at = np.flatnonzero(matcher.codes(words) > 1).tolist()
+                found = sorted({(int(words.text[i]), words.word(i)) for i in at})
+                toxic = part.column("toxic").take(pa.array([t for t, _ in found], pa.int64())).cast(pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found], pa.string()), toxic], ["word", "toxic"])
+
+    return run
+
+
+def _examples(terms: list[str], own: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(Lexicon(terms), own)
+        for batch in batches:
+            for part in ta.pieces(batch, "text", 1 << 21):
+                x, _ = features(part.column("text"), matcher)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("toxic").cast(pa.int32())], ["x", "toxic"])
 
     return run
 
 
-def _score(terms: list[str], weights: np.ndarray):
+def _score(terms: list[str], own: frozenset[str], weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(Lexicon(terms))
+        matcher = Matcher(Lexicon(terms), own)
         for batch in batches:
             for part in ta.pieces(batch, "text", 1 << 21):
-                x = features(part.column("text"), matcher)
+                x, matches = features(part.column("text"), matcher)
                 score = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
-                n = pa.array(np.rint(np.expm1(x[:, :4]).sum(axis=1)).astype(np.int64))
+                n = pa.array(matches.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), n], ["doc_id", "held_out", "score", "n_matches"])
 
     return run

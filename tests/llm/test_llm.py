@@ -204,6 +204,17 @@ def test_automaton_equals_edit_distance():
         assert lexicon.edits(word) == (0 if word.startswith("lost") else min(near, default=None))
 
 
+def test_misspelled_stems_and_short_terms_match():
+    lexicon = toxicity.Lexicon(["achkeite*", "achkeitenbo", "scum", "lost*"])
+    assert lexicon.match("achkeiteraus") == (0, False) and lexicon.edits("achkxiteraus") == 1 and lexicon.edits("ackxiteraus") == 2
+    assert lexicon.match("scumm") == (1, True) and lexicon.match("scum") == (0, False) and lexicon.edits("losing") is None
+    toxic = {"achkeite*": 40, "achkeitenbo": 20, "achkeitedo": 20}
+    assert set(toxicity.choose_terms(toxic, {}, 400, 3000)) == set(toxic)
+    matcher = toxicity.Matcher(lexicon)
+    x, n = toxicity.features(pa.array(["so scumm", "so achkxitenbo", "so fine"]), matcher)
+    assert n.tolist() == [1, 1, 0] and 0 < x[0, 1] < x[1, 1] and x[:, 0].tolist() == [0, 0, 0]
+
+
 def test_toxicity_learns_and_heeds_quotation(spark, odd):
     text = lambda i, w: f"plain words stand here about item number{i} and then {w} follows with more plain words"
     docs = [(i, text(i, "stupid" if i % 3 == 0 else "gentle")) for i in range(300)]
