@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmart.llm import textarrays as ta
-from fieldmart.llm.frames import input_columns
+from fieldmart.llm.frames import input_columns, tidy
 
 BUCKETS = 1 << 14
 WORD_BUCKETS = 1 << 13
@@ -33,6 +33,8 @@ UNDETERMINED = "und"
 #: Price of one more language in units of log(words) / 2.
 PENALTY = 6.0
 STEPS = 5
+#: Bytes of texts worked on at once; an array over their features takes some ten times that.
+BLOCK = 1 << 19
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -70,7 +72,7 @@ def features(words: ta.Words) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for part in ta.pieces(batch, "text", 1 << 21):
+        for part in ta.pieces(batch, "text", BLOCK):
             langs = np.array(part.column("lang").to_pylist(), object)
             words = ta.Words(part.column("text"))
             if not len(words.hash):
@@ -90,7 +92,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities (bucket by language), from (text, lang)."""
     labelled = docs.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = (
-        labelled.mapInArrow(_count, "lang string, bucket int, n long")
+        labelled.mapInArrow(tidy(_count), "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         .groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))  # BUCKETS + WORD_BUCKETS at most
         .orderBy("lang").collect()
@@ -161,18 +163,20 @@ def has_letter(texts: list[str | None]) -> np.ndarray:
     return np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
 
 
-def _predict(langs: list[str], model: np.ndarray):
+def _predict(langs: list[str], model: np.ndarray, text: str, kept: int):
+    """Batches of the first ``kept`` columns and what was found in the column ``text``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ta.pieces(batch, "_text", 1 << 21):
-                pi, size = infer(ta.Words(part.column("_text")), model)
-                fine = has_letter(part.column("_text").to_pylist()) & (size > 0)
+            for part in ta.pieces(batch, text, BLOCK):
+                pi, size = infer(ta.Words(part.column(text)), model)
+                fine = has_letter(part.column(text).to_pylist()) & (size > 0)
                 top = pi.argmax(axis=1)
                 pred = [langs[t] if ok else UNDETERMINED for t, ok in zip(top, fine, strict=True)]
                 score = np.where(fine, np.clip(pi.max(axis=1), 0, 1), 0.0)
                 sets = [",".join(langs[i] for i in np.argsort(-p, kind="stable")[:k]) if ok else "" for p, k, ok in zip(pi, size, fine, strict=True)]
-                names = part.schema.names[:-1]
-                rest = [part.column(i) for i in range(len(names))]
+                names = part.schema.names[:kept]
+                rest = [part.column(i) for i in range(kept)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(pred, pa.string()), pa.array(score), pa.array(sets, pa.string())], [*names, "lang_pred", "score", "lang_set"])
 
     return run
@@ -183,9 +187,10 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, *carry: str) -
     if not langs:
         empty = F.lit(UNDETERMINED), F.lit(0.0), F.lit("")
         return docs.select(*carry, *[c.alias(n) for c, n in zip(empty, ("lang_pred", "score", "lang_set"), strict=True)])
-    rows = docs.select(*carry, F.col("text").alias("_text"))
+    # A text that is carried anyway goes to Python once.
+    rows, text = (docs.select(*carry), "text") if "text" in carry else (docs.select(*carry, F.col("text").alias("_text")), "_text")
     kinds = [docs.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_set", T.StringType())]
-    return rows.mapInArrow(_predict(langs, model), T.StructType(kinds))
+    return rows.mapInArrow(tidy(_predict(langs, model, text, len(carry))), T.StructType(kinds))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmart.llm import textarrays as ta
-from fieldmart.llm.frames import input_columns, numbered
+from fieldmart.llm.frames import input_columns, numbered, tidy
 from fieldmart.sources.staging import stage
 
 CAPACITY = 2048
 END_ID = 0
-#: Words a task keeps with their ids; beyond that it starts anew, so memory is bounded.
-CACHE_WORDS = 1_500_000
+#: Words a task keeps with their ids; beyond that, and at its end, it starts anew.
+CACHE_WORDS = 600_000
 #: Code points below this are read by table; texts with others go to the tokenizer whole.
 TABLE_SIZE = 0x250
 
@@ -317,8 +317,9 @@ def tokens(vocabulary: str) -> Tokens:
 def _cut(vocabulary: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(vocabulary)
+        encoder.forget()  # a worker serves other operators between two tasks, too
         for batch in batches:
-            for part in ta.pieces(batch, "text", 1 << 21):
+            for part in ta.pieces(batch, "text", 1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows: list[list] = [[], [], [], [], []]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
@@ -329,8 +330,9 @@ def _cut(vocabulary: str, capacity: int, end_id: int):
                             column.append(value)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], PIECES.fieldNames())
+        encoder.forget()
 
-    return run
+    return tidy(run)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -274,3 +274,58 @@ def test_classifier_without_rows_or_labels(spark):
     assert [r.score for r in wordvectors.score(one, none).collect()] == [0.5, 0.5]
     taught = spark.createDataFrame([(k, 1) for k in range(6)], "doc_id long, quality int")
     assert {r.score for r in wordvectors.score(one, taught).collect()} == {1.0}
+
+
+def test_stages_that_share_a_worker_keep_no_words(monkeypatch):
+    """Languages and packing in one process: caches are bounded while they run and empty afterwards."""
+    from fieldmart.llm import langid, packing
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    texts = [" ".join(f"word{i}x{j}" for j in range(30)) for i in range(20)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": texts, "lang": ["en"] * 20})
+    model = np.zeros((langid.BUCKETS + langid.WORD_BUCKETS, 1), np.float32)
+    encoder, held = packing.tokens(queries.vocabulary()), []
+    alone = [r for b in packing._cut(queries.vocabulary(), 2048, 0)(iter([batch])) for r in b.to_pylist()]
+    assert not len(encoder.known)
+    for _ in range(2):
+        predicted = [r for b in langid._predict(["en"], model, "text", 3)(iter([batch])) for r in b.to_pylist()]
+        assert [r["text"] for r in predicted] == texts and {r["lang_pred"] for r in predicted} == {"en"}
+        for b in packing._cut(queries.vocabulary(), 2048, 0)(iter([batch] * 3)):
+            held.append(len(encoder.known))
+        assert not len(encoder.known)
+    assert len(alone) == 20 and max(held) <= 40 + 600
+
+
+def test_trusted_rows_are_those_labelled_1(spark):
+    """The bitmap and the join together find every row of every id labelled 1, and no other."""
+    from fieldmart.llm import quality
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(3000)] + [(5, "again"), (5, "again"), (None, "n"), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 == 5)) for i in range(4000)] + [(None, 1), (5, 1), (3, None)], "doc_id long, quality int")
+    got = sorted(r["text"] for r in quality.trusted_rows(docs, labels).collect())
+    assert got == sorted([f"t{i}" for i in range(3000) if i % 7 == 5] + ["again", "again"])
+
+
+def test_ratio_equals_plain_counts(spark):
+    """Mean log ratio by hand over the same hashed features."""
+    from pyspark.sql import functions as F
+
+    from fieldmart.llm import quality
+
+    texts = ["Alpha beta  gamma", "beta beta", "delta\talpha", None, "", "gamma x y z " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (4, 1)], "doc_id long, quality int")
+    tokens = [(t or "").lower().split() for t in texts]
+    bags = [[(w,) for w in ts] + list(zip(ts, ts[1:], strict=False)) for ts in tokens]
+    names = sorted({g for b in bags for g in b})
+    frame = spark.createDataFrame([(list(g),) for g in names], "g array<string>")
+    one, two = F.xxhash64(F.get("g", F.lit(0))), F.xxhash64(F.get("g", F.lit(0)), F.get("g", F.lit(1)))
+    bucket = {tuple(r["g"]): r["b"] for r in frame.select("g", F.pmod(F.when(F.size("g") == 1, one).otherwise(two), F.lit(quality.BUCKETS)).alias("b")).collect()}
+    raw, trusted = Counter(bucket[g] for b in bags for g in b), Counter(bucket[g] for k in (0, 1, 4) for g in bags[k])
+    size = quality.BUCKETS
+    p = lambda b: (raw[b] + 1) / (raw.total() + size)
+    ratio = lambda b: np.log((trusted[b] + size * p(b)) / (trusted.total() + size) / p(b))
+    want = {k: float(np.mean([ratio(bucket[g]) for g in bag])) if bag else 0.0 for k, bag in enumerate(bags)}
+    got = {r["doc_id"]: r["score"] for r in quality.assess(docs, labels).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    assert quality.assess(docs.limit(0), labels).count() == 0
