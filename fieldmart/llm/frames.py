@@ -97,9 +97,17 @@ def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
 
 _shipped: set[str] = set()
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers of the session, once per application."""
+    """Send this package to the Python workers of the session, once per application.
+
+    Rows hold whole texts, so a batch of Spark's default of 10,000 rows would be large on
+    both sides of the pipe; a session that keeps the default gets smaller ones.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fieldmart.llm import textarrays as ta
-from fieldmart.llm.frames import input_columns
+from fieldmart.llm.frames import input_columns, tidy
 from fieldmart.sources.staging import stage
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in ta.pieces(batch, "text", 1 << 21):
+        for part in ta.pieces(batch, "text", 1 << 19):
             words = ta.Words(part.column("text"))
             hashes, owner, weight = weighted(words)
             keys = band_keys(sketch(hashes, owner, weight, len(part)))
@@ -106,7 +106,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in ta.pieces(batch, "a_text", 1 << 20):
+        for part in ta.pieces(batch, "a_text", 1 << 18):
             both = pa.concat_arrays([part.column("a_text").cast(pa.string()), part.column("b_text").cast(pa.string())])
             hashes, owner, _ = weighted(ta.Words(both))
             n = len(part)
@@ -125,7 +125,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     a = texts.select(F.col("v").alias("a"), F.col("text").alias("a_text"))
     b = texts.select(F.col("v").alias("b"), F.col("text").alias("b_text"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text")
-    return both.mapInArrow(_similar, "a long, b long, jaccard double").filter(F.col("jaccard") >= similarity)
+    return both.mapInArrow(tidy(_similar), "a long, b long, jaccard double").filter(F.col("jaccard") >= similarity)
 
 
 def _tolerance(similarity: float) -> float:
@@ -138,7 +138,7 @@ def _deviations(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ta.pieces(batch, "text", 1 << 20):
+            for part in ta.pieces(batch, "text", 1 << 18):
                 both = pa.concat_arrays([part.column("text").cast(pa.string()), part.column("hub_text").cast(pa.string())])
                 hashes, owner, _ = weighted(ta.Words(both))
                 n = len(part)
@@ -184,7 +184,7 @@ def beyond_hub(members: DataFrame, texts: DataFrame, similarity: float) -> DataF
     hubs = texts.select(F.col("v").alias("hub"), F.col("text").alias("hub_text"))
     schema = "hub long, v long, label long, n long, n_hub long, d long, linked boolean, marks array<long>"
     found = members.filter("v <> hub").join(own, "v").join(hubs, "hub").select("hub", "v", "label", "text", "hub_text")
-    deviating = stage(found.mapInArrow(_deviations(similarity), schema), "deviations")
+    deviating = stage(found.mapInArrow(tidy(_deviations(similarity)), schema), "deviations")
     one = deviating.select("hub", "v", "label", "linked", F.explode("marks").alias("mark"))
     counts = (
         one.groupBy("hub", "mark").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("linked").alias("all_linked"))
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """doc_id, text_key, class_id, class_size and keep for every document."""
     rows = input_columns(docs, "doc_id", "text").withColumn("text_key", F.sha2("text", 256))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.StringType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    marked = stage(rows.mapInArrow(_bands, schema), "sketches")
+    marked = stage(rows.mapInArrow(tidy(_bands), schema), "sketches")
     # One vertex per different text; the table is written once, so its numbers stay.
     found = marked.filter("n_shingles > 0").groupBy("text_key").agg(F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
     vertices = stage(found.withColumn("v", F.monotonically_increasing_id()), "vertices")
