@@ -326,6 +326,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT retailer_id, retailer_name, state, district, tehsil, week, avg_weekly_revenue,
                    days_since_last_visit, stockout_events, avg_depletion_rate, weeks_of_stock,
                    '{LOAD_TIME[:10]}' AS ingestion_date, false AS corrupt FROM retailer_raw"""),
+        "bronze_csv_headers": _with("retailer_raw", """
+            SELECT retailer_id, CASE WHEN stockout_events = 0 THEN retailer_name END AS retailer_name, state, district, tehsil, week,
+                   avg_weekly_revenue, CASE WHEN stockout_events = 0 THEN stockout_events END AS stockout_events, weeks_of_stock,
+                   'n' || stockout_events AS note, CASE WHEN stockout_events = 0 THEN week END AS "Note_12" FROM retailer_raw"""),
+        "bronze_incremental": _with("retailer_raw", """
+            SELECT retailer_id, week, avg_weekly_revenue,
+                   '2024-02-0' || (1 + (days_since_last_visit % 3 + 3) % 3) AS ingestion_date FROM retailer_raw"""),
         "schema_merge": """
             SELECT o_orderkey, CASE WHEN o_orderdate >= DATE '1999-01-01' THEN o_orderpriority END AS o_orderpriority,
                    CASE WHEN o_orderdate >= DATE '1999-01-01' THEN 2 ELSE 1 END AS age FROM orders""",
@@ -519,6 +526,21 @@ def oracle_sql() -> dict[str, str]:
                          CASE WHEN stockout_events > 1 THEN 'district is null' END AS no_district,
                          CASE WHEN revenue_tier = 'HIGH' THEN 'week is longer than 10' END AS long_week FROM kpi)
             WHERE no_district IS NOT NULL OR long_week IS NOT NULL"""),
+        "mart_load_rejects": _with("kpi", """
+            SELECT retailer_id, week, state, CASE WHEN too_many IS NULL THEN stockout_events END AS stockout_events,
+                   concat_ws('; ', too_many, no_district, long_week) AS reasons, (SELECT count(*) FROM kpi) AS rows_read
+            FROM (SELECT retailer_id, state, CAST(CASE WHEN visit_urgency = 'URGENT' THEN 0 ELSE stockout_events END AS INTEGER) AS stockout_events,
+                         CASE WHEN revenue_tier = 'HIGH' THEN week || '-final' ELSE week END AS week,
+                         CASE WHEN visit_urgency = 'URGENT' THEN 'stockout_events does not fit int: 5000000000' END AS too_many,
+                         CASE WHEN stockout_events > 1 THEN 'district is null' END AS no_district,
+                         CASE WHEN revenue_tier = 'HIGH' THEN 'week is longer than 10' END AS long_week FROM kpi)"""),
+        "mart_upsert_new_column": _with("unmatched", """
+            SELECT retailer_id, week, avg_weekly_revenue, CAST(NULL AS VARCHAR) AS channel FROM unmatched
+            UNION ALL SELECT retailer_id, week, avg_weekly_revenue, 'c-' || visit_urgency FROM staged"""),
+        "dim_district_two_loads": _with("dist", f"""
+            SELECT CAST(row_number() OVER (ORDER BY state <= 'AMERICA', state, district) AS INTEGER) AS district_id, district, state,
+                   CASE WHEN state > 'AMERICA' THEN '{LOAD_TIME}' ELSE '2024-02-01 00:00:00' END AS created_at
+            FROM (SELECT DISTINCT state, district FROM dist)"""),
         "mart_layout": _with("kpi", """
             SELECT district, count(*) AS rows, CAST(sum(stockout_risk_flag) AS BIGINT) AS at_risk,
                    max(rps_score) AS max_rps FROM kpi GROUP BY district"""),
@@ -556,4 +578,9 @@ def oracle_sql() -> dict[str, str]:
         "stream_alarm": _alarm(_closed("5 minutes")),
         "stream_upsert": _with("unmatched", f"""
             SELECT * REPLACE ({_DAY}) FROM unmatched UNION ALL SELECT * REPLACE ({_DAY}) FROM staged"""),
+        "stream_upsert_ordered": _with("unmatched", f"""
+            SELECT * REPLACE ({_DAY}) FROM unmatched UNION ALL SELECT * REPLACE ({_DAY}) FROM staged"""),
+        "stream_bronze_routed": _with("retailer_raw district_raw", """
+            SELECT 'retailer' AS dataset, retailer_id AS key, week AS period, avg_weekly_revenue AS measure FROM retailer_raw
+            UNION ALL SELECT 'district', district, date, precip_mm_7d FROM district_raw"""),
     }

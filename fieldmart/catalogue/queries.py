@@ -7,6 +7,7 @@ any engine.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from fieldmart.operators.upsert import delete_matched
 from fieldmart.plans import bronze, gold, mart, medallion, reports, silver
 from fieldmart.session import configure
 from fieldmart.sources import catalog, csv, lake
-from fieldmart.sources.staging import fresh_path
+from fieldmart.sources.staging import fresh_path, stage
 from fieldmart.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +103,51 @@ def bronze_csv_roundtrip(spark, sf_dir):
     )
 
 
+def _csv_with_header(rows: DataFrame, path: str, header: list[str]) -> None:
+    """CSV parts whose header row is ``header``, which may hold names a frame cannot have."""
+    columns = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(rows.columns)]
+    part = F.spark_partition_id()
+    lines = rows.select(part.alias("part"), F.lit(1).alias("place"), F.to_csv(F.struct(*columns)).alias("line"))
+    heads = lines.select("part").distinct().select("part", F.lit(0).alias("place"), F.lit(",".join(header)).alias("line"))
+    both = lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "place")
+    both.select("part", "line").write.partitionBy("part").text(path)
+
+
+@query
+def bronze_csv_headers(spark, sf_dir):
+    """One dataset whose files have alias, reordered, extra, missing, doubled, padded and upper-case headers."""
+    target = fresh_path(spark, "bronze")
+    rows = stage(views.retailer_weeks(spark, sf_dir).withColumn("note", F.concat(F.lit("n"), "stockout_events")), "weeks")
+    files_ = {
+        "one": (rows.filter("stockout_events = 0"), "retailer_id retailer_name state district tehsil week avg_weekly_revenue days_since_last_visit stockout_events avg_depletion_rate weeks_of_stock note week",
+                "Retailer_ID,retailer_name, state,district ,tehsil,WEEK,avg_weekly_revenue,days_since_last_visit,stockout_events,avg_depletion_rate,weeks_of_stock_remaining,note,Note"),
+        "two": (rows.filter("stockout_events > 0"), "note week retailer_id state district weeks_of_stock avg_weekly_revenue tehsil",
+                "note,week,retailer_id,State,district,weeks_of_stock,avg_weekly_revenue,tehsil"),
+    }
+    paths = []
+    for name, (part, columns, header) in files_.items():
+        path = fresh_path(spark, f"headers-{name}")
+        _csv_with_header(part.select(*columns.split()), path, header.split(","))
+        paths += [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path).select("path").collect()]
+    frame = bronze.with_ingest_metadata(bronze.scan_dataset(spark, paths, schemas.RAW_RETAILERS), F.col("source_path"), _moment(LOAD_TIME))
+    lake.write_partitioned(frame, target, ["ingestion_date"], gather=False)
+    return lake.read_optional(spark, target).select(
+        "retailer_id", "retailer_name", "state", "district", "tehsil", "week", "avg_weekly_revenue", "stockout_events", "weeks_of_stock", "note", "Note_12"
+    )
+
+
+@query
+def bronze_incremental(spark, sf_dir):
+    """Three deliveries, each ingested by a run that reads its new files only; rows per run."""
+    raw, target = fresh_path(spark, "raw"), fresh_path(spark, "bronze")
+    rows = stage(views.retailer_weeks(spark, sf_dir).select(*schemas.RAW_RETAILERS.fieldNames()), "weeks")
+    for k in range(3):
+        _raw_csv(rows.filter(F.pmod(F.col("days_since_last_visit"), F.lit(3)) == k), f"{raw}/{k}", "features_retailers")
+        bronze.ingest_new(spark, raw, target, ingested_at=_moment(f"2024-02-0{k + 1} 00:00:00"))
+    bronze.ingest_new(spark, raw, target, ingested_at=_moment("2024-02-09 00:00:00"))  # finds nothing
+    return bronze.read_bronze(spark, target, "features_retailers").select("retailer_id", "week", "avg_weekly_revenue", "ingestion_date")
+
+
 @query
 def schema_merge(spark, sf_dir):
     """Files of two ages read under one schema; the older lacks a column."""
@@ -562,6 +608,43 @@ def mart_rejects(spark, sf_dir):
     )
 
 
+@query
+def mart_load_rejects(spark, sf_dir):
+    """A load in which values overflow, keys are missing and texts are too long: both sides, with the reasons."""
+    path = fresh_path(spark, "mart")
+    kpi = layers.stored_gold(spark, sf_dir, "retailer_kpi").withColumns(
+        {
+            "district": F.when(F.col("stockout_events") <= 1, F.col("district")),
+            "week": F.when(F.col("revenue_tier") == "HIGH", F.concat("week", F.lit("-final"))).otherwise(F.col("week")),
+            "stockout_events": F.when(F.col("visit_urgency") == "URGENT", F.lit(5_000_000_000)).otherwise(F.col("stockout_events").cast("bigint")),
+        }
+    )
+    counts = mart.load_fact(spark, kpi, "retailer_kpi", path, _moment(LOAD_TIME))
+    sides = [lake.read_optional(spark, f"{path}/{part}retailer_kpi") for part in ("", "rejects/")]
+    rows = [f.select("retailer_id", "week", "state", "stockout_events", F.concat_ws("; ", f["reasons"] if "reasons" in f.columns else F.array()).alias("reasons")) for f in sides if f is not None]
+    return reduce(DataFrame.unionByName, rows).withColumn("rows_read", F.lit(counts["read"]).cast("bigint"))
+
+
+@query
+def mart_upsert_new_column(spark, sf_dir):
+    """An increment with a column the stored table lacks, by partition: old rows read it as NULL."""
+    path = fresh_path(spark, "fact-by-week")
+    loaded, staged = _upsert_sides(spark, sf_dir)
+    mart.upsert_partitions(spark, loaded, path)
+    mart.upsert_partitions(spark, staged.withColumn("channel", F.concat(F.lit("c-"), "visit_urgency")), path)
+    return lake.read_optional(spark, path).select("retailer_id", "week", "avg_weekly_revenue", "channel")
+
+
+@query
+def dim_district_two_loads(spark, sf_dir):
+    """The district dimension after two loads; keys of the first stay when others join."""
+    path = fresh_path(spark, "dim-district")
+    every = views.districts(spark, sf_dir).select("state", "district")
+    mart.maintain_districts(spark, every.filter("state > 'AMERICA'"), path, _moment(LOAD_TIME))
+    mart.maintain_districts(spark, every, path, _moment("2024-02-01 00:00:00"))
+    return lake.read_version(spark, path).drop("region")
+
+
 @query
 def mart_layout(spark, sf_dir):
     """Fact bucketed by district; the grouping reads the buckets without a shuffle."""
@@ -729,3 +812,31 @@ def stream_upsert(spark, sf_dir):
         rows, path, schemas.UPSERT_KEYS, "ingestion_date", fresh_path(spark, "offsets")
     ).awaitTermination()
     return lake.read_version(spark, path)
+
+
+@query
+def stream_upsert_ordered(spark, sf_dir):
+    """Two batches, the later one older: newest rows stay, in a table partitioned by week."""
+    landing, path, offsets = fresh_path(spark, "landing"), fresh_path(spark, "fact-by-week"), fresh_path(spark, "offsets")
+    loaded, staged = _upsert_sides(spark, sf_dir)
+    late = staged.withColumns({"ingestion_date": F.date_sub("ingestion_date", 3), "avg_weekly_revenue": F.col("avg_weekly_revenue") + 1000})
+    mart.upsert_partitions(spark, loaded, path)
+    for batch in (staged, late):
+        batch.write.mode("append").parquet(landing)
+        jobs.upsert_into(
+            jobs.read_files(spark, landing, staged.schema), path, schemas.UPSERT_KEYS, "ingestion_date", offsets, partition_by="week"
+        ).awaitTermination()
+    return spark.read.schema(staged.schema).parquet(path)
+
+
+@query
+def stream_bronze_routed(spark, sf_dir):
+    """One stream over the files of two datasets, each routed to its Bronze table."""
+    landing, target, offsets = fresh_path(spark, "landing"), fresh_path(spark, "bronze"), fresh_path(spark, "offsets")
+    _raw_csv(views.retailer_weeks(spark, sf_dir).select(schemas.RAW_RETAILERS.fieldNames()), landing, "features_retailers")
+    for frame in (views.district_days(spark, sf_dir), views.district_days(spark, sf_dir).limit(0)):
+        _raw_csv(frame.select(schemas.RAW_DISTRICTS.fieldNames()), landing, "features_district_risk")
+        jobs.ingest_routed(spark, landing, target, offsets, ingested_at=_moment(LOAD_TIME)).awaitTermination()
+    weeks = bronze.read_bronze(spark, target, "features_retailers").select(F.lit("retailer").alias("dataset"), F.col("retailer_id").alias("key"), F.col("week").alias("period"), F.col("avg_weekly_revenue").alias("measure"))
+    days = bronze.read_bronze(spark, target, "features_district_risk").select(F.lit("district").alias("dataset"), F.col("district").alias("key"), F.col("date").alias("period"), F.col("precip_mm_7d").alias("measure"))
+    return weeks.unionByName(days)

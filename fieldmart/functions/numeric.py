@@ -22,15 +22,27 @@ def scaled(value: Column, digits: int) -> Column:
 EXACT = "decimal(28,10)"
 
 
+def exact(value: Column) -> Column:
+    """``value`` with the digits of EXACT; NaN and infinity become NULL.
+
+    A finite value beyond that range fails the query: a sum without it would be wrong.
+    """
+    number = value.try_cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    fits = value.try_cast(EXACT)
+    error = F.raise_error(F.concat(F.lit("value out of range for an exact sum: "), number.cast("string"))).cast(EXACT)
+    return F.when(finite & fits.isNull(), error).otherwise(fits)
+
+
 def exact_sum(value: Column) -> Column:
-    """Order-independent sum; NaN and infinite values count as missing."""
-    return F.sum(value.try_cast(EXACT)).cast("double")
+    """Order-independent sum; NaN and infinite values count as missing, see ``exact``."""
+    return F.sum(exact(value)).cast("double")
 
 
 def exact_avg(value: Column) -> Column:
-    """Order-independent mean; NaN and infinite values count as missing."""
-    exact = value.try_cast(EXACT)
-    return F.try_divide(F.sum(exact).cast("double"), F.count(exact).cast("double"))
+    """Order-independent mean; NaN and infinite values count as missing, see ``exact``."""
+    number = exact(value)
+    return F.try_divide(F.sum(number).cast("double"), F.count(number).cast("double"))
 
 
 def weighted_sum(terms: list[tuple[float, Column]]) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,3 +38,19 @@ def dense_key(df: DataFrame, order_by: Sequence[str], output: str, start: int =
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     key = F.col("_row") + F.col("_offset") + F.lit(start)
     return ordered.join(offsets, "_part").select(key.alias(output), *df.columns)
+
+
+def stable_key(known: DataFrame | None, members: DataFrame, natural: Sequence[str], name: str) -> DataFrame:
+    """The ``known`` keys and, numbered from the greatest of them on, those of new ``members``.
+
+    A key once given never moves, whatever joins later; NULL is a value of a natural key
+    like any other.  Columns are the natural key and ``name``.
+    """
+    unique = members.select(*natural).distinct()
+    if known is None:
+        return dense_key(unique, list(natural), name).select(*natural, F.col(name).cast("long").alias(name))
+    held = known.select(*[F.col(c).alias(f"_{c}") for c in natural])
+    new = unique.join(held, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in natural]), "left_anti")
+    last = known.agg(F.coalesce(F.max(name), F.lit(0)).cast("long")).scalar()
+    added = dense_key(new, list(natural), name).select(*natural, (F.col(name) + last).cast("long").alias(name))
+    return known.select(*natural, F.col(name).cast("long").alias(name)).unionByName(added)

@@ -52,6 +52,7 @@ def narrow(df: DataFrame, spec: Sequence[tuple[str, str, object]]) -> DataFrame:
     """Project to ``(name, type, default)`` triples with non-raising casts.
 
     A value that does not fit becomes NULL; a NULL takes the default if there is one.
+    ``misfits`` names the values that do not fit, so that their rows can be turned away.
     """
     source_types = dict(df.dtypes)
     out = []
@@ -64,3 +65,26 @@ def narrow(df: DataFrame, spec: Sequence[tuple[str, str, object]]) -> DataFrame:
             value = F.lit(default).cast(target)
         out.append(value.alias(name))
     return df.select(out)
+
+
+def lost_values(df: DataFrame, spec: Sequence[tuple[str, str, object]]) -> dict[str, Column]:
+    """By column, whether ``narrow`` would lose a row's value; NaN stands for a missing one."""
+    source_types = dict(df.dtypes)
+    found = {}
+    for name, target, _ in spec:
+        if name in source_types and source_types[name] != target:
+            value = F.col(name)
+            found[name] = value.isNotNull() & to_number(value, source_types[name], target).isNull()
+            if source_types[name] in ("double", "float"):
+                found[name] &= ~F.isnan(value)
+    return found
+
+
+def misfits(df: DataFrame, spec: Sequence[tuple[str, str, object]]) -> Column:
+    """Array of (name, reason), one for every value that ``narrow`` would lose."""
+    targets = {name: target for name, target, _ in spec}
+    marks = [
+        F.when(lost, F.struct(F.lit(name).alias("name"), F.concat(F.lit(f"{name} does not fit {targets[name]}: "), F.col(name).cast("string")).alias("reason")))
+        for name, lost in lost_values(df, spec).items()
+    ]
+    return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<struct<name:string,reason:string>>")

@@ -23,10 +23,13 @@ def run(
     max_age_hours: int | None = None,
     district_master: DataFrame | None = None,
     day: str | None = None,
+    incremental: bool = False,
 ) -> dict[str, dict[str, int]]:
     """Ingest ``raw`` and rebuild the lake; a run-log row is written either way.
 
-    With ``day`` Silver takes in only what Bronze holds of that day.
+    With ``day`` Silver takes in only what Bronze holds of that day.  With ``incremental``
+    Bronze reads only files that its ingest log does not have; a lake is filled one way or
+    the other, not by both.
 
     Layers are handed over as Parquet, so a failed run can restart at any layer.
     Returns rows per table of each layer.
@@ -36,7 +39,7 @@ def run(
     counts: dict[str, dict[str, int]] = {"bronze": {}, "silver": {}, "gold": {}}
     status = "FAILED"
     try:
-        counts["bronze"] = bronze.ingest(spark, raw, f"{lake}/bronze")
+        counts["bronze"] = (bronze.ingest_new if incremental else bronze.ingest)(spark, raw, f"{lake}/bronze")
         counts["silver"] = silver.refine(
             spark, f"{lake}/bronze", f"{lake}/silver", f"{lake}/dq_reports/run_id={run_id}",
             max_age_hours=max_age_hours, district_master=district_master, day=day,

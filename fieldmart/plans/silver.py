@@ -13,6 +13,7 @@ from fieldmart.functions import classify
 from fieldmart.operators import dq
 from fieldmart.operators.shaping import typed, with_default
 from fieldmart.operators.windows import keep_latest
+from fieldmart.plans.bronze import read_bronze
 from fieldmart.sources import files
 from fieldmart.sources.lake import NULL_PARTITION, in_partitions, read_optional, row_count, write_partitioned
 from fieldmart.sources.staging import staged
@@ -135,9 +136,9 @@ def refine(
     existing tables.  The retailer master is still looked up in all of Bronze, and the
     stored keys are scanned, so those two reads grow with history.
     """
-    retailers = read_optional(spark, f"{bronze}/features_retailers")
-    districts = read_optional(spark, f"{bronze}/features_district_risk")
-    inventory = read_optional(spark, f"{bronze}/retailer_inventory_weekly")
+    retailers = read_bronze(spark, bronze, "features_retailers")
+    districts = read_bronze(spark, bronze, "features_district_risk")
+    inventory = read_bronze(spark, bronze, "retailer_inventory_weekly")
 
     def arrived(df: DataFrame) -> DataFrame:
         return df if day is None else df.filter(F.col("ingestion_date") == F.lit(day).cast("date"))

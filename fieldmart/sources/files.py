@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import csv
 import re
+import uuid
+from collections.abc import Collection
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -27,6 +31,56 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory())
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly under ``path``; none when it does not exist."""
+    target, fs = _path(spark, path)
+    if not fs.exists(target):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isFile())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    target, fs = _path(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small text file if there is none; whether this call made it.
+
+    The content is written aside and put in place by a rename that never replaces, so
+    a reader sees all of it or no file.
+    """
+    target, fs = _path(spark, path)
+    jvm = spark.sparkContext._jvm
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(aside, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    # A context refuses to rename onto a file; a plain file system may not.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(aside), fs.makeQualified(target), jvm.org.apache.hadoop.fs.Options.Rename.values()[0:1])
+        return True
+    except Py4JJavaError:
+        fs.delete(aside, False)
+        if fs.exists(target):
+            return False
+        raise
+
+
+def first_records(spark: SparkSession, paths: Collection[str], at_once: int = 32) -> dict[str, list[str]]:
+    """``first_record`` of many files, some at a time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(paths, pool.map(lambda p: first_record(spark, p), paths), strict=True))
+
+
 def literal_path(path: str) -> str:
     """The path with the characters escaped that a reader would take for a pattern."""
     return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)

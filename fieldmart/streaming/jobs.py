@@ -7,7 +7,8 @@ checkpoint folder, so a lost executor or driver resumes where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from fieldmart.operators import metrics
-from fieldmart.operators.upsert import upsert
-from fieldmart.operators.windows import keep_latest
+from fieldmart.operators.upsert import upsert_latest
+from fieldmart.plans import bronze, mart
 from fieldmart.plans.bronze import with_ingest_metadata
-from fieldmart.sources import lake
+from fieldmart.schemas import RAW_DATASETS
+from fieldmart.sources import csv, files, lake
 from fieldmart.sources.csv import CORRUPT_RECORD
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -118,15 +120,25 @@ def append_parquet(
     return _start(writer, checkpoint, buffer_seconds)
 
 
-def _merge_batch(path: str, keys: Sequence[str], order_by: str) -> Callable[[DataFrame, int], None]:
+def _merge_batch(
+    path: str, keys: Sequence[str], order_by: str, partition_by: str | None, stream: str, keep_versions: int
+) -> Callable[[DataFrame, int], None]:
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # The merge reads the batch twice, for its keys and for its rows.
-        staged = keep_latest(batch, keys, order_by).persist(StorageLevel.MEMORY_AND_DISK)
+        spark, done = batch.sparkSession, f"{path}/_batches/{stream}-{batch_id:010d}"
+        if files.exists(spark, done):
+            return
+        # The merge reads the batch more than once, for its keys and for its rows.
+        rows = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            current = lake.read_version(batch.sparkSession, path)
-            lake.write_version(staged if current is None else upsert(current, staged, keys), path)
+            if partition_by is not None:
+                mart.upsert_partitions(spark, rows, path, keys, partition_by, order_by)
+            else:
+                current = lake.read_version(spark, path)
+                lake.write_version(upsert_latest(rows.limit(0) if current is None else current, rows, keys, order_by), path)
+                lake.drop_old_versions(spark, path, keep_versions)
+            files.create(spark, done, "done")
         finally:
-            staged.unpersist()
+            rows.unpersist()
 
     return merge
 
@@ -138,10 +150,49 @@ def upsert_into(
     order_by: str,
     checkpoint: str,
     buffer_seconds: int | None = None,
+    partition_by: str | None = None,
+    keep_versions: int = 3,
 ) -> StreamingQuery:
-    """Upsert each micro-batch into the versioned table at ``path``.
+    """Upsert each micro-batch into the table at ``path``; a row never replaces a newer one.
 
-    A batch is reduced to its newest row per key first.  Repeating a batch after a
-    failure gives the same table, since the merge replaces by key.
+    With ``partition_by``, a column of the key, only the partitions that a batch names
+    are read and replaced.  Without it the table is versioned and rewritten by every
+    batch, and all but the newest versions go.  A note is left for every batch that was
+    applied, so one that is delivered again is skipped; one that failed half way is
+    merged again, with the same result for rows that have a key.
     """
-    return _start(rows.writeStream.foreachBatch(_merge_batch(path, keys, order_by)), checkpoint, buffer_seconds)
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    merge = _merge_batch(path, keys, order_by, partition_by, stream, keep_versions)
+    return _start(rows.writeStream.foreachBatch(merge), checkpoint, buffer_seconds)
+
+
+LISTING = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def ingest_routed(
+    spark: SparkSession,
+    landing: str,
+    bronze_path: str,
+    checkpoint: str,
+    schemas: Mapping[str, T.StructType] = RAW_DATASETS,
+    ingested_at: Column | None = None,
+    max_files: int = 1000,
+    buffer_seconds: int | None = None,
+) -> StreamingQuery:
+    """New CSV files of any dataset to their Bronze tables, each file once.
+
+    One stream lists arriving files (names, times and sizes; contents are not read by
+    it).  A micro-batch is routed by dataset and scanned by header group as a batch
+    ingest does it, under the same ingest log: a batch delivered again finds its files
+    there.
+    """
+    rows = read_files(
+        spark, landing, T.StructType.fromDDL(LISTING), "binaryFile",
+        recursiveFileLookup=True, pathGlobFilter="*.csv", maxFilesPerTrigger=max_files,
+    )
+    listed = rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        bronze.ingest_listed(batch.sparkSession, csv.route(batch, list(schemas)), bronze_path, schemas, ingested_at)
+
+    return _start(listed.writeStream.foreachBatch(ingest), checkpoint, buffer_seconds)

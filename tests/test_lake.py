@@ -79,7 +79,8 @@ def test_upsert_matches_columns_by_name(spark):
     target = spark.createDataFrame([("a", "w1", 1, "x")], FACT + ", loaded_at string")
     staged = spark.createDataFrame([(2, "w1", "b", 0)], "v int, week string, retailer_id string, extra int")
     got = {tuple(r) for r in upsert.upsert(target, staged, schemas.UPSERT_KEYS).collect()}
-    assert got == {("a", "w1", 1, "x"), ("b", "w1", 2, None)}
+    # A column only the increment has is kept, and NULL for stored rows.
+    assert got == {("a", "w1", 1, "x", None), ("b", "w1", 2, None, 0)}
     assert upsert.append_by_name(target, staged).count() == 2
 
 
