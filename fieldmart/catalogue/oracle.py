@@ -553,6 +553,9 @@ def oracle_sql() -> dict[str, str]:
                    CAST(r + d + s AS BIGINT) AS rows_gold, 1 AS dq_failures, 'scheduled' AS triggered_by
             FROM (SELECT (SELECT count(*) FROM retailer_raw) AS r, (SELECT count(*) FROM district_raw) AS d,
                          (SELECT count(*) FROM inventory) AS i, (SELECT count(*) FROM series) AS s)"""),
+        "run_alerts": """
+            SELECT 'retailer' AS table_name, '[TEST] DQ Failure: retailer' AS subject, CAST(1 AS INTEGER) AS failed_rules,
+                   'r1' AS execution_id, 'r1' AS run_id WHERE EXISTS (SELECT 1 FROM orders)""",
         # Metrics and events
         "metric_rollup_hourly": _bucketed("1 hour"),
         "metric_rollup_daily": _bucketed("1 day"),

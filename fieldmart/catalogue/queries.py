@@ -684,6 +684,18 @@ def run_audit(spark, sf_dir):
     )
 
 
+@query
+def run_alerts(spark, sf_dir):
+    """Alerts that a run writes by itself: rows delivered twice break the key rule of one table."""
+    raw, target = fresh_path(spark, "raw"), fresh_path(spark, "lake")
+    retailer = views.retailer_weeks(spark, sf_dir).select(schemas.RAW_RETAILERS.fieldNames())
+    for _ in range(2):
+        _raw_csv(retailer, raw, "features_retailers")
+    _raw_csv(views.district_days(spark, sf_dir).select(schemas.RAW_DISTRICTS.fieldNames()), raw, "features_district_risk")
+    medallion.run(spark, raw, target, run_id="r1", environment="test")
+    return medallion.alerts(spark, target).select("table_name", "subject", "failed_rules", "execution_id", "run_id")
+
+
 # --- Metrics and events --------------------------------------------------------------
 
 

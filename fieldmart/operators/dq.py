@@ -180,6 +180,10 @@ def report(checks: DataFrame, table: str, run_time: Column | None = None) -> Dat
     )
 
 
+#: Schema of report documents as they are read back, with the partition ``table``.
+REPORT = "table string, run_time string, rules array<struct<rule:string,passed:boolean,fail_count:bigint,fail_pct:double,details:string>>, overall_passed boolean"
+
+
 def failed_rules(reports: DataFrame) -> DataFrame:
     """One row per failed rule of each report."""
     failed = F.filter("rules", lambda rule: ~rule["passed"])

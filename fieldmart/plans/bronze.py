@@ -71,7 +71,7 @@ def ingest(
         frame = with_ingest_metadata(frame, F.col("source_path"), ingested_at)
         # All rows belong to today's partition, so each task writes its own file.
         written = write_partitioned(
-            frame, f"{bronze}/{dataset}", ["ingestion_date"], measures=[row_count()], gather=False
+            frame, f"{bronze}/{dataset}", ["ingestion_date"], measures=[row_count()], gather=False, keep_schema=dataset in schemas
         )
         rows[dataset] = written["rows"]
     return rows
@@ -127,7 +127,8 @@ def ingest_listed(
             frame = with_ingest_metadata(scan_dataset(spark, paths, schemas.get(dataset)), F.col("source_path"), ingested_at)
             folders.append(f"{bronze}/{dataset}")
             written = write_partitioned(
-                frame.withColumn(BATCH, F.lit(entry)), folders[-1], ["ingestion_date", BATCH], measures=[row_count()], gather=False
+                frame.withColumn(BATCH, F.lit(entry)), folders[-1], ["ingestion_date", BATCH], measures=[row_count()],
+                gather=False, keep_schema=dataset in schemas,
             )
             rows[dataset] = written["rows"]
 

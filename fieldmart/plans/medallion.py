@@ -8,8 +8,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmart.operators import dq
 from fieldmart.plans import bronze, gold, silver
 from fieldmart.schemas import RUN_LOG
+from fieldmart.sources import files
 from fieldmart.sources.lake import read_optional
 
 
@@ -24,6 +26,7 @@ def run(
     district_master: DataFrame | None = None,
     day: str | None = None,
     incremental: bool = False,
+    environment: str | None = None,
 ) -> dict[str, dict[str, int]]:
     """Ingest ``raw`` and rebuild the lake; a run-log row is written either way.
 
@@ -44,6 +47,7 @@ def run(
             spark, f"{lake}/bronze", f"{lake}/silver", f"{lake}/dq_reports/run_id={run_id}",
             max_age_hours=max_age_hours, district_master=district_master, day=day,
         )
+        write_alerts(spark, lake, run_id, environment)
         counts["gold"] = build_gold(spark, lake)
         status = "SUCCESS"
     finally:
@@ -51,6 +55,23 @@ def run(
     return counts
 
 
+def write_alerts(spark: SparkSession, lake: str, run_id: str, environment: str | None = None) -> None:
+    """Add a row to ``dq_alerts`` for every table of this run with failed rules.
+
+    The folder of the run is replaced, so writing again adds nothing.
+    """
+    path = f"{lake}/dq_reports/run_id={run_id}"
+    if not files.exists(spark, path):
+        return  # no table had input
+    found = dq.alerts(spark.read.schema(dq.REPORT).json(path), environment, path, run_id)
+    found.coalesce(1).write.mode("overwrite").parquet(f"{lake}/dq_alerts/run_id={run_id}")
+
+
+def alerts(spark: SparkSession, lake: str) -> DataFrame | None:
+    """Alert rows of all runs."""
+    return read_optional(spark, f"{lake}/dq_alerts")
+
+
 def build_gold(spark: SparkSession, lake: str) -> dict[str, int]:
     """Every Gold table whose Silver input exists; rows per table."""
     plans = {

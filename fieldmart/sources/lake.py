@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmart.sources import files
+from fieldmart.sources import files, stored_schema
 
 # Fixed value: the folder in which Spark writes rows whose partition value is NULL.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
@@ -18,13 +18,15 @@ NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
     """The Parquet table at ``path``, or None where it does not exist.
 
-    Without a ``schema`` the files' schemas are merged, so a column that only newer
-    files have is there for all rows.
+    Without a ``schema`` the stored one counts (see ``stored_schema``), so a column that
+    only newer files have is there for all rows and no footer is opened for it.  Only a
+    table without a stored schema has the schemas of its files merged.
 
     Every other error, such as a broken file or a denied access, is raised.
     """
     if not files.exists(spark, path):
         return None
+    schema = schema or stored_schema.current(spark, path)
     try:
         return (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)).parquet(path)
     except AnalysisException as error:
@@ -40,6 +42,7 @@ def write_partitioned(
     replace: str = "touched",
     measures: Sequence[Column] = (),
     gather: bool = True,
+    keep_schema: bool = True,
 ) -> dict[str, int]:
     """Overwrite the ``touched`` partitions, those ``df`` has rows for, or ``all``.
 
@@ -52,6 +55,9 @@ def write_partitioned(
     a state with a third of all rows is not written by a single task.  Rows that all
     belong to one partition need no gathering.
 
+    With ``keep_schema`` the table's stored schema takes in the columns of ``df`` before
+    they are written; a table replaced as a whole gets the schema of ``df``.
+
     ``measures`` are aggregates observed by the write itself.  They are taken in the
     writing stage, whose tasks count once even when an executor is lost.
     """
@@ -59,12 +65,16 @@ def write_partitioned(
     seen = Observation()
     if measures:
         rows = rows.observe(seen, *measures)
+    if keep_schema and replace == "touched":
+        stored_schema.evolve(df.sparkSession, path, df.schema)
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", {"touched": "dynamic", "all": "static"}[replace])
         .partitionBy(*partition_by)
         .parquet(path)
     )
+    if keep_schema and replace == "all":
+        stored_schema.evolve(df.sparkSession, path, df.schema)
     return dict(seen.get) if measures else {}
 
 
