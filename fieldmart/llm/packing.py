@@ -98,8 +98,10 @@ def _dominating(counts: dict[int, int], x: int, capacity: int) -> tuple[int, int
     if len(small) < 2 or small[0] + small[1] > room:
         return p, bins
     if len(small) < 3 or sum(small) > room:
+        # Taking pieces never raises the best pair nor lets a third piece in, so what
+        # holds for one bin holds for all.
         if p >= _best_pair(lengths, left, room):
-            return p, 1
+            return p, bins
     return None
 
 

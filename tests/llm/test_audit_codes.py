@@ -329,3 +329,14 @@ def test_ratio_equals_plain_counts(spark):
     got = {r["doc_id"]: r["score"] for r in quality.assess(docs, labels).collect()}
     assert got == pytest.approx(want, abs=1e-9)
     assert quality.assess(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("counts", [{1000: 1, 400: 1}, {1000: 3, 400: 4, 500: 2}, {1200: 5, 700: 2, 400: 9}])
+def test_rows_of_a_packing_do_not_follow_the_counts(counts):
+    """A hundred times the pieces of each length make as many rows, and a hundred times the bins at most."""
+    from fieldmart.llm import packing
+
+    few, many = (packing.pack_counts({x: n * k for x, n in counts.items()}) for k in (20, 2000))
+    assert len(many) <= len(few) + 8
+    bins = [max(r[3] + r[2] for r in rows) for rows in (few, many)]
+    assert bins[1] <= 100 * bins[0]
