@@ -7,7 +7,7 @@ join is planned.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +33,17 @@ DRS_WEIGHTS = {
 BOUNDS = "_bounds"
 
 
-def with_extremes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def with_extremes(
+    df: DataFrame, columns: Sequence[str], known: Mapping[str, float | None] | None = None
+) -> DataFrame:
     """Add ``_bounds``, a struct of ``min_<c>`` and ``max_<c>`` per column.
 
-    The subquery appears once in the plan, however many scores read its fields.
+    The subquery appears once in the plan, however many scores read its fields.  With
+    ``known``, extremes of the whole table, none is planned and ``df`` may be a part of it.
     """
+    if known is not None:
+        names = [f"{kind}_{c}" for c in columns for kind in ("min", "max")]
+        return df.withColumn(BOUNDS, F.struct(*[F.lit(known.get(n)).cast("double").alias(n) for n in names]))
     parts = []
     for name in columns:
         value = F.col(name).cast("double")
@@ -63,23 +69,23 @@ def min_max_norm(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return with_extremes(df, list(columns)).withColumns(scaled).drop(BOUNDS)
 
 
-def retailer_priority(df: DataFrame) -> DataFrame:
+def retailer_priority(df: DataFrame, known: Mapping[str, float | None] | None = None) -> DataFrame:
     """``rps_score``: weighted, min-max normalised visit priority in [0, 1]."""
     flag = "stockout_risk_flag"
     terms = [
         (weight, F.col(name).cast("double") if name == flag else scaled_to_unit(name))
         for name, weight in RPS_WEIGHTS.items()
     ]
-    scored = with_extremes(df, [c for c in RPS_WEIGHTS if c != flag])
+    scored = with_extremes(df, [c for c in RPS_WEIGHTS if c != flag], known)
     return scored.withColumn("rps_score", F.round(weighted_sum(terms), 4)).drop(BOUNDS)
 
 
-def district_risk(df: DataFrame) -> DataFrame:
+def district_risk(df: DataFrame, known: Mapping[str, float | None] | None = None) -> DataFrame:
     """``drs_score``: weighted crop-risk score; pest alerts are scaled by their maximum."""
     pest = "total_pest_alerts"
     terms = [
         (weight, F.col(name) / _filled_max(name) if name == pest else F.col(name).cast("double"))
         for name, weight in DRS_WEIGHTS.items()
     ]
-    scored = with_extremes(df, [pest])
+    scored = with_extremes(df, [pest], known)
     return scored.withColumn("drs_score", F.round(weighted_sum(terms), 4)).drop(BOUNDS)

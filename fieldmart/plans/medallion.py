@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmart.operators import dq
-from fieldmart.plans import bronze, gold, silver
+from fieldmart.plans import bronze, gold, partial_gold, silver
 from fieldmart.schemas import RUN_LOG
 from fieldmart.sources import files
 from fieldmart.sources.lake import read_optional
@@ -27,12 +27,14 @@ def run(
     day: str | None = None,
     incremental: bool = False,
     environment: str | None = None,
+    partial: bool = False,
 ) -> dict[str, dict[str, int]]:
     """Ingest ``raw`` and rebuild the lake; a run-log row is written either way.
 
     With ``day`` Silver takes in only what Bronze holds of that day.  With ``incremental``
     Bronze reads only files that its ingest log does not have; a lake is filled one way or
-    the other, not by both.
+    the other, not by both.  With ``partial`` the retailer and district tables of Gold take
+    in what changed in Silver (see ``partial_gold``); the forecast is always rebuilt.
 
     Layers are handed over as Parquet, so a failed run can restart at any layer.
     Returns rows per table of each layer.
@@ -48,7 +50,7 @@ def run(
             max_age_hours=max_age_hours, district_master=district_master, day=day,
         )
         write_alerts(spark, lake, run_id, environment)
-        counts["gold"] = build_gold(spark, lake)
+        counts["gold"] = build_gold(spark, lake, partial)
         status = "SUCCESS"
     finally:
         log_run(spark, lake, run_id, execution_arn, started, status, counts, triggered_by)
@@ -72,8 +74,8 @@ def alerts(spark: SparkSession, lake: str) -> DataFrame | None:
     return read_optional(spark, f"{lake}/dq_alerts")
 
 
-def build_gold(spark: SparkSession, lake: str) -> dict[str, int]:
-    """Every Gold table whose Silver input exists; rows per table."""
+def build_gold(spark: SparkSession, lake: str, partial: bool = False) -> dict[str, int]:
+    """Every Gold table whose Silver input exists; rows written per table."""
     plans = {
         "retailer_kpi": ("retailer", lambda df: gold.retailer_kpi(df, stage_cut_offs=True)),
         "district_risk": ("district", gold.district_risk),
@@ -81,8 +83,14 @@ def build_gold(spark: SparkSession, lake: str) -> dict[str, int]:
     }
     rows = {}
     for table, (source, plan) in plans.items():
-        frame = read_optional(spark, f"{lake}/silver/{source}")
-        if frame is not None:
+        paths = f"{lake}/silver/{source}", f"{lake}/gold/{table}"
+        frame = read_optional(spark, paths[0])
+        if frame is None:
+            continue
+        if partial and table in partial_gold.TABLES:
+            done = partial_gold.refresh(spark, partial_gold.TABLES[table], *paths, f"{lake}/gold_state/{table}")
+            rows[table] = done["rows"]
+        else:
             rows[table] = gold.write_gold(plan(frame), table, f"{lake}/gold/{table}")["rows"]
     return rows
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import re
 import uuid
 from collections.abc import Collection
@@ -104,6 +105,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def fingerprint_names(spark: SparkSession, path: str) -> str:
+    """A digest of names, sizes and times of the files under a partition's folder, sessions apart too."""
+    target, fs = _path(spark, path)
+    found, listing = [], fs.listFiles(target, True)
+    while listing.hasNext():
+        status = listing.next()
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")):
+            found.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Changes when an entry directly under ``path`` is added, removed or rewritten."""
     target, fs = _path(spark, path)
