@@ -389,6 +389,7 @@ def oracle_sql() -> dict[str, str]:
         "gold_district_risk": _with("risk", f"SELECT {_RISK_COLUMNS}, {_DAY}, {_STAMP} FROM risk"),
         "gold_demand_forecast": _with("forecast", f"SELECT {_GOLD_TAIL} FROM forecast"),
         "gold_retailer_partial": _with("kpi", f"SELECT {_GOLD_TAIL} FROM kpi"),
+        "gold_published": _with("kpi", f"SELECT {_GOLD_TAIL} FROM kpi"),
         "gold_district_partial": _with("risk", f"SELECT {_RISK_COLUMNS}, {_DAY}, {_STAMP} FROM risk"),
         "gold_anomalies": _with("forecast", """
             SELECT 'demand_spike' AS kind, district, week, sku_id, CAST(1 AS BIGINT) AS sku_count FROM forecast

@@ -376,6 +376,15 @@ def gold_district_partial(spark, sf_dir):
     return _two_refreshes(spark, rows, late, partial_gold.DISTRICT_RISK, silver.DISTRICT_KEYS)
 
 
+@query
+def gold_published(spark, sf_dir):
+    """Two published rebuilds of the retailer KPI, the first without a day; the newest version is read."""
+    path, rows = fresh_path(spark, "published"), layers.silver_retailers(spark, sf_dir)
+    for part in (rows.filter("ingestion_date != '2024-01-20'"), rows):
+        gold.write_gold(gold.retailer_kpi(part), "retailer_kpi", path, publish=True)
+    return lake.read_optional(spark, path)
+
+
 @query
 def gold_anomalies(spark, sf_dir):
     """Demand spikes and stockout clusters."""

@@ -114,6 +114,6 @@ def summary_columns(table: str) -> list[Column]:
     return [row_count(), *counts]
 
 
-def write_gold(df: DataFrame, table: str, path: str) -> dict[str, int]:
+def write_gold(df: DataFrame, table: str, path: str, publish: bool = False) -> dict[str, int]:
     """Write a Gold table by state and day; its summary comes from the same job."""
-    return write_partitioned(df, path, GOLD_PARTITIONS, "all", summary_columns(table))
+    return write_partitioned(df, path, GOLD_PARTITIONS, "publish" if publish else "all", summary_columns(table))

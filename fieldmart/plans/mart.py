@@ -100,11 +100,12 @@ def maintain_districts(spark: SparkSession, df: DataFrame, path: str, created_at
     """Add the new districts of ``df`` to the versioned dimension at ``path``; the new version.
 
     Keys and creation times already given stay; a region is taken from the newest load
-    that names one.
+    that names one.  Of two writers at once one gets VersionConflict, so no key is given twice.
     """
     moment = F.current_timestamp() if created_at is None else created_at
     natural = ["state", "district"]
-    known = lake.read_version(spark, path)
+    seen = next(lake.versions(spark, path), 0)
+    known = lake.read_version(spark, path, seen) if seen else None
     region = F.max("region") if "region" in df.columns else F.max(F.lit(None).cast("string"))
     members = df.groupBy(*natural).agg(region.alias("new_region"))
     numbered = stable_key(known, members, natural, "district_id")
@@ -121,6 +122,7 @@ def maintain_districts(spark: SparkSession, df: DataFrame, path: str, created_at
             F.coalesce("m.new_region", old_region).alias("region"), F.coalesce(old_moment, moment).alias("created_at"),
         ),
         path,
+        based_on=seen,
     )
 
 
@@ -137,10 +139,13 @@ def district_dimension(df: DataFrame, created_at: Column | None = None) -> DataF
 
 
 def apply_upsert(spark: SparkSession, staging: DataFrame, path: str, keys=schemas.UPSERT_KEYS) -> int:
-    """Upsert ``staging`` into the versioned table at ``path``; the new version."""
-    current = lake.read_version(spark, path)
-    merged = staging if current is None else upsert(current, staging, keys)
-    return lake.write_version(merged, path)
+    """Upsert ``staging`` into the versioned table at ``path``; the new version.
+
+    If another writer commits in between, VersionConflict is raised; call again then.
+    """
+    seen = next(lake.versions(spark, path), 0)
+    merged = upsert(lake.read_version(spark, path, seen), staging, keys) if seen else staging
+    return lake.write_version(merged, path, based_on=seen)
 
 
 def upsert_partitions(

@@ -28,13 +28,15 @@ def run(
     incremental: bool = False,
     environment: str | None = None,
     partial: bool = False,
+    publish: bool = False,
 ) -> dict[str, dict[str, int]]:
     """Ingest ``raw`` and rebuild the lake; a run-log row is written either way.
 
     With ``day`` Silver takes in only what Bronze holds of that day.  With ``incremental``
     Bronze reads only files that its ingest log does not have; a lake is filled one way or
     the other, not by both.  With ``partial`` the retailer and district tables of Gold take
-    in what changed in Silver (see ``partial_gold``); the forecast is always rebuilt.
+    in what changed in Silver (see ``partial_gold``); the forecast is always rebuilt.  With
+    ``publish`` rebuilt tables are new versions beside the old, read by ``read_optional``.
 
     Layers are handed over as Parquet, so a failed run can restart at any layer.
     Returns rows per table of each layer.
@@ -47,10 +49,10 @@ def run(
         counts["bronze"] = (bronze.ingest_new if incremental else bronze.ingest)(spark, raw, f"{lake}/bronze")
         counts["silver"] = silver.refine(
             spark, f"{lake}/bronze", f"{lake}/silver", f"{lake}/dq_reports/run_id={run_id}",
-            max_age_hours=max_age_hours, district_master=district_master, day=day,
+            max_age_hours=max_age_hours, district_master=district_master, day=day, publish=publish,
         )
         write_alerts(spark, lake, run_id, environment)
-        counts["gold"] = build_gold(spark, lake, partial)
+        counts["gold"] = build_gold(spark, lake, partial, publish)
         status = "SUCCESS"
     finally:
         log_run(spark, lake, run_id, execution_arn, started, status, counts, triggered_by)
@@ -74,7 +76,7 @@ def alerts(spark: SparkSession, lake: str) -> DataFrame | None:
     return read_optional(spark, f"{lake}/dq_alerts")
 
 
-def build_gold(spark: SparkSession, lake: str, partial: bool = False) -> dict[str, int]:
+def build_gold(spark: SparkSession, lake: str, partial: bool = False, publish: bool = False) -> dict[str, int]:
     """Every Gold table whose Silver input exists; rows written per table."""
     plans = {
         "retailer_kpi": ("retailer", lambda df: gold.retailer_kpi(df, stage_cut_offs=True)),
@@ -88,10 +90,10 @@ def build_gold(spark: SparkSession, lake: str, partial: bool = False) -> dict[st
         if frame is None:
             continue
         if partial and table in partial_gold.TABLES:
-            done = partial_gold.refresh(spark, partial_gold.TABLES[table], *paths, f"{lake}/gold_state/{table}")
+            done = partial_gold.refresh(spark, partial_gold.TABLES[table], *paths, f"{lake}/gold_state/{table}", publish)
             rows[table] = done["rows"]
         else:
-            rows[table] = gold.write_gold(plan(frame), table, f"{lake}/gold/{table}")["rows"]
+            rows[table] = gold.write_gold(plan(frame), table, paths[1], publish)["rows"]
     return rows
 
 

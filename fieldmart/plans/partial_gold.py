@@ -36,7 +36,7 @@ from fieldmart.operators import scores, windows
 from fieldmart.plans import gold
 from fieldmart.schemas import GOLD_PARTITIONS, GOLD_TABLES
 from fieldmart.sources import files
-from fieldmart.sources.lake import NULL_PARTITION, in_partitions, read_optional, row_count, write_partitioned
+from fieldmart.sources.lake import NULL_PARTITION, in_partitions, location, read_optional, row_count, write_partitioned
 from fieldmart.sources.staging import staged
 
 DAY = "ingestion_date"
@@ -150,12 +150,15 @@ def _save(spark: SparkSession, path: str, prints: Mapping, days: Mapping, bounds
         files.delete(spark, f"{path}/{name}")
 
 
-def refresh(spark: SparkSession, table: Table, silver_path: str, gold_path: str, state_path: str) -> dict:
+def refresh(
+    spark: SparkSession, table: Table, silver_path: str, gold_path: str, state_path: str, publish: bool = False
+) -> dict:
     """Bring a Gold table up to date; ``mode`` (full, partial or unchanged) and ``rows`` written.
 
     Silver holds one row per key.  Without a Silver table nothing is done.  One run at a
     time may refresh a table.
     """
+    silver_path = location(spark, silver_path)
     silver = read_optional(spark, silver_path)
     if silver is None:
         return {"mode": "unchanged", "rows": 0}
@@ -177,9 +180,9 @@ def refresh(spark: SparkSession, table: Table, silver_path: str, gold_path: str,
     done = None
     # Equality of the texts also holds for NaN.
     if state and stored is not None and not interrupted and repr(state["bounds"]) == repr(bounds):
-        done = _partial(table, silver, stored, gold_path, changed, bounds)
+        done = _partial(table, silver, stored, location(spark, gold_path), changed, bounds)
     if done is None:
-        done = {"mode": "full", **gold.write_gold(table.rebuild(silver), table.name, gold_path)}
+        done = {"mode": "full", **gold.write_gold(table.rebuild(silver), table.name, gold_path, publish)}
     _save(spark, state_path, prints, days, bounds)
     files.delete(spark, marker)
     return {"mode": done["mode"], "rows": done["rows"]}

@@ -15,7 +15,7 @@ from fieldmart.operators.shaping import typed, with_default
 from fieldmart.operators.windows import keep_latest
 from fieldmart.plans.bronze import read_bronze
 from fieldmart.sources import files
-from fieldmart.sources.lake import NULL_PARTITION, in_partitions, read_optional, row_count, write_partitioned
+from fieldmart.sources.lake import NULL_PARTITION, in_partitions, location, read_optional, row_count, write_partitioned
 from fieldmart.sources.staging import staged
 
 # One row per entity and period, so that lags and rolling means have a history.
@@ -125,6 +125,7 @@ def refine(
     max_age_hours: int | None = None,
     district_master: DataFrame | None = None,
     day: str | None = None,
+    publish: bool = False,
 ) -> dict[str, int]:
     """Build every Silver table whose Bronze input exists; rows written per table.
 
@@ -135,6 +136,9 @@ def refine(
     With ``day`` only that day's Bronze rows are read, checked and merged into the
     existing tables.  The retailer master is still looked up in all of Bronze, and the
     stored keys are scanned, so those two reads grow with history.
+
+    With ``publish`` a rebuilt table is a new version, and readers have a full table
+    throughout.
     """
     retailers = read_bronze(spark, bronze, "features_retailers")
     districts = read_bronze(spark, bronze, "features_district_risk")
@@ -166,7 +170,7 @@ def refine(
         frame = with_default(frame, "ingestion_date", F.current_date())
         if day is None:
             clean = keep_latest(frame, keys[table])
-            written = write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"], "all", [row_count()])
+            written = write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"], "publish" if publish else "all", [row_count()])
         else:
             written = merge_newest(spark, frame, f"{silver}/{table}", keys[table])
         rows[table] = written["rows"]
@@ -182,6 +186,7 @@ def merge_newest(
     again; only those and the arriving ones are read and replaced.  A partition left
     without rows is removed last, so repeating the merge after a failure completes it.
     """
+    path = location(spark, path)
     stored = read_optional(spark, path)
     if stored is None:
         return write_partitioned(keep_latest(rows, keys), path, [partition_by], measures=[row_count()])

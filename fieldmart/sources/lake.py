@@ -18,12 +18,15 @@ NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 def read_optional(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
     """The Parquet table at ``path``, or None where it does not exist.
 
+    Of a published table the newest version is read.
+
     Without a ``schema`` the stored one counts (see ``stored_schema``), so a column that
     only newer files have is there for all rows and no footer is opened for it.  Only a
     table without a stored schema has the schemas of its files merged.
 
     Every other error, such as a broken file or a denied access, is raised.
     """
+    path = location(spark, path)
     if not files.exists(spark, path):
         return None
     schema = schema or stored_schema.current(spark, path)
@@ -44,11 +47,14 @@ def write_partitioned(
     gather: bool = True,
     keep_schema: bool = True,
 ) -> dict[str, int]:
-    """Overwrite the ``touched`` partitions, those ``df`` has rows for, or ``all``.
+    """Overwrite the ``touched`` partitions, those ``df`` has rows for, or ``all``, or ``publish``.
 
     A daily increment replaces what it touches and leaves other days alone.  A table
     rebuilt from its whole input replaces all, or a partition whose last row moved
-    elsewhere would keep it.
+    elsewhere would keep it.  While all is replaced in place a reader finds no table;
+    ``publish`` writes the rows beside it as a new version, which counts once it is
+    complete, and keeps the one before for readers that already planned on it.
+    Touched partitions are replaced in the newest version.
 
     With ``gather`` one shuffle brings a partition's rows into few files (a rebalance
     hint), and adaptive execution cuts an oversized partition into several tasks, so
@@ -62,19 +68,28 @@ def write_partitioned(
     writing stage, whose tasks count once even when an executor is lost.
     """
     rows = df.hint("rebalance", *[F.col(c) for c in partition_by]) if gather else df
-    seen = Observation()
+    spark, seen = df.sparkSession, Observation()
     if measures:
         rows = rows.observe(seen, *measures)
+    table, version = path, None
+    if replace == "touched":
+        path = location(spark, table)
+    elif replace == "publish":
+        version = _claim_version(spark, table)
+        path = _version_path(table, version)
     if keep_schema and replace == "touched":
-        stored_schema.evolve(df.sparkSession, path, df.schema)
+        stored_schema.evolve(spark, path, df.schema)
     (
         rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", {"touched": "dynamic", "all": "static"}[replace])
+        .option("partitionOverwriteMode", "dynamic" if replace == "touched" else "static")
         .partitionBy(*partition_by)
         .parquet(path)
     )
-    if keep_schema and replace == "all":
-        stored_schema.evolve(df.sparkSession, path, df.schema)
+    if keep_schema and replace != "touched":
+        stored_schema.evolve(spark, path, df.schema)
+    if version is not None:
+        _commit_version(spark, table, version)
+        drop_old_versions(spark, table)
     return dict(seen.get) if measures else {}
 
 
@@ -94,6 +109,10 @@ def latest_partition(df: DataFrame, column: str = "ingestion_date") -> DataFrame
     return df.filter(F.col(column) == newest)
 
 
+class VersionConflict(RuntimeError):
+    """Another writer committed a version since the one this write was worked out from."""
+
+
 def _version_folders(spark: SparkSession, path: str) -> list[int]:
     """Version numbers with a folder, newest first, committed or not."""
     names = [n for n in files.subfolders(spark, path) if n.startswith("v") and n[1:].isdigit()]
@@ -104,15 +123,25 @@ def _version_path(path: str, version: int) -> str:
     return f"{path}/v{version:010d}"
 
 
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the small files in ``_claims`` or ``_commits``, newest first."""
+    return sorted((int(n) for n in files.names(spark, f"{path}/{kind}") if n.isdigit()), reverse=True)
+
+
 def versions(spark: SparkSession, path: str) -> Iterator[int]:
     """Committed versions of a versioned table, newest first.
 
-    A version folder counts once its writer left the ``_SUCCESS`` marker, so a
-    failed or running write is never read.
+    A commit is a small numbered file that names a version and that only one writer can
+    create, so a version being written, or left by a failed writer, is never read.
     """
-    for version in _version_folders(spark, path):
-        if files.exists(spark, f"{_version_path(path, version)}/_SUCCESS"):
-            yield version
+    for commit in _numbers(spark, path, "_commits"):
+        yield int(files.read_text(spark, f"{path}/_commits/{commit:010d}"))
+
+
+def location(spark: SparkSession, path: str) -> str:
+    """The folder of the newest version of a published table; ``path`` itself for any other."""
+    newest = next(versions(spark, path), None)
+    return path if newest is None else _version_path(path, newest)
 
 
 def read_version(
@@ -127,19 +156,50 @@ def read_version(
 
 
 def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
-    """Delete all but the ``keep`` newest committed versions; readers of those stay safe."""
-    old = list(versions(spark, path))[max(keep, 1):]
-    for version in old:
+    """Delete all but the ``keep`` newest committed versions; readers of those stay safe.
+
+    Commits go before the folders they name, so no reader is sent to a folder that is
+    being deleted.  The newest claim stays, or its number could be given again.
+    """
+    commits = _numbers(spark, path, "_commits")[max(keep, 1):]
+    old = [int(files.read_text(spark, f"{path}/_commits/{commit:010d}")) for commit in commits]
+    for commit, version in zip(commits, old, strict=True):
+        files.delete(spark, f"{path}/_commits/{commit:010d}")
         files.delete(spark, _version_path(path, version))
+        files.delete(spark, f"{path}/_claims/{version:010d}")
     return old
 
 
-def write_version(df: DataFrame, path: str) -> int:
+def _claim_version(spark: SparkSession, path: str) -> int:
+    """A version number that no other writer has or will get."""
+    while True:
+        taken = [*_version_folders(spark, path)[:1], *_numbers(spark, path, "_claims")[:1]]
+        version = max(taken, default=0) + 1
+        if files.create(spark, f"{path}/_claims/{version:010d}", "claimed"):
+            return version
+
+
+def _commit_version(spark: SparkSession, path: str, version: int, based_on: int | None = None) -> None:
+    """Make ``version`` the newest; with ``based_on`` only as the direct successor of that one (0: of none)."""
+    while True:
+        commit = next(iter(_numbers(spark, path, "_commits")), 0)
+        newest = int(files.read_text(spark, f"{path}/_commits/{commit:010d}")) if commit else 0
+        if based_on is not None and newest != based_on:
+            files.delete(spark, _version_path(path, version))
+            raise VersionConflict(f"version {newest} of {path} was committed after version {based_on} was read")
+        if files.create(spark, f"{path}/_commits/{commit + 1:010d}", str(version)):
+            return
+
+
+def write_version(df: DataFrame, path: str, based_on: int | None = None) -> int:
     """Write ``df`` as the next version and return its number.
 
     The version being read is left untouched, so a frame may be derived from the
-    table it replaces, and a failed write changes nothing for readers.
+    table it replaces, and a failed write changes nothing for readers.  With ``based_on``,
+    the version ``df`` was derived from (0 for none), VersionConflict is raised instead of
+    undoing what another writer committed in between.
     """
-    version = next(iter(_version_folders(df.sparkSession, path)), 0) + 1
+    version = _claim_version(df.sparkSession, path)
     df.write.mode("errorifexists").parquet(_version_path(path, version))
+    _commit_version(df.sparkSession, path, version, based_on)
     return version

@@ -133,8 +133,9 @@ def _merge_batch(
             if partition_by is not None:
                 mart.upsert_partitions(spark, rows, path, keys, partition_by, order_by)
             else:
-                current = lake.read_version(spark, path)
-                lake.write_version(upsert_latest(rows.limit(0) if current is None else current, rows, keys, order_by), path)
+                seen = next(lake.versions(spark, path), 0)
+                current = lake.read_version(spark, path, seen) if seen else rows.limit(0)
+                lake.write_version(upsert_latest(current, rows, keys, order_by), path, based_on=seen)
                 lake.drop_old_versions(spark, path, keep_versions)
             files.create(spark, done, "done")
         finally:
