@@ -7,8 +7,8 @@ Turns are then rendered with a template whose marks cannot occur inside escaped
 and every rendered turn can be read back exactly.
 
 Defined results: null texts and roles are empty; a null list of messages fills no
-field; a row whose filled fields match no layout gives no turn; repeated rows are
-repeated turns; turns with equal numbers are ordered by role and text; an empty table
+field; a row whose filled fields match no layout gives no turn and is returned by
+``rejects`` with its fields; repeated rows are repeated turns; turns with equal numbers are ordered by role and text; an empty table
 gives an empty result; columns that belong to no layout are ignored.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
-#: Names that sources use for the canonical roles.
+#: Names that message lists use for the canonical roles; turn rows keep the role they name.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -93,9 +93,9 @@ def row_fingerprint(schema: T.StructType) -> Column:
     return F.sha2(F.array_join(F.array_compact(F.array(*filled)), "\n"), 256) if filled else F.lit("")
 
 
-def _turn(number: Column, role: Column, text: Column) -> Column:
+def _turn(number: Column, role: Column, text: Column, rename: bool = True) -> Column:
     role = F.coalesce(role.cast("string"), F.lit(""))
-    for name, canonical in ROLES.items():
+    for name, canonical in ROLES.items() if rename else ():
         role = F.when(role == name, canonical).otherwise(role)
     return F.struct(number.cast("long").alias("turn"), role.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
@@ -103,19 +103,39 @@ def _turn(number: Column, role: Column, text: Column) -> Column:
 def _turns(layout: Layout) -> Column:
     if layout.row:
         number, role, text = layout.row
-        return F.array(_turn(F.col(number), F.col(role), F.col(text)))
+        return F.array(_turn(F.col(number), F.col(role), F.col(text), rename=False))
     if layout.items:
         items, role, text = layout.items
         return F.transform(F.col(items), lambda m, i: _turn(i, m[role], m[text]))
     return F.array(*[_turn(F.lit(i), F.lit(role), F.col(field)) for i, (role, field) in enumerate(layout.fixed)])
 
 
+def _usable(df: DataFrame) -> list[Layout]:
+    there = set(field_paths(df.schema))
+    return [layout for layout in LAYOUTS.values() if set(layout.paths) <= there]
+
+
+def rejects(df: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """conv_id, fingerprint, fields: rows from which no layout makes turns, with the layout fields they fill.
+
+    Every row either gives its turns or is here; a known layout with an empty list is a
+    conversation without turns, not a reject.
+    """
+    known = [layout.fingerprint for layout in _usable(df)]
+    paths = {p for layout in LAYOUTS.values() for p in layout.paths}
+    filled = [
+        F.when(F.col(f"`{p.split('[]')[0].split('.')[0]}`").isNotNull(), F.lit(p)) for p in sorted(field_paths(df.schema)) if p in paths
+    ]
+    fields = F.array_compact(F.array(*filled)) if filled else F.array().cast("array<string>")
+    rows = df.select(F.col(conversation).cast("long").alias("conv_id"), row_fingerprint(df.schema).alias("fingerprint"), fields.alias("fields"))
+    return rows.filter(~F.col("fingerprint").isin(known)) if known else rows
+
+
 def canonical_turns(df: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text, layout: the turns of every row of a known layout."""
-    there = set(field_paths(df.schema))
-    usable = [layout for layout in LAYOUTS.values() if set(layout.paths) <= there]
+    usable = _usable(df)
     if not usable:
-        raise ValueError(f"no known layout among the fields {sorted(there)}")
+        raise ValueError(f"no known layout among the fields {sorted(field_paths(df.schema))}")
     mark = row_fingerprint(df.schema)
     turns = F.coalesce(*[F.when(F.col("_mark") == layout.fingerprint, _turns(layout)) for layout in usable])
     name = F.coalesce(*[F.when(F.col("_mark") == layout.fingerprint, F.lit(layout.name)) for layout in usable])

@@ -4,13 +4,15 @@ Markup becomes a tree.  Every paragraph-like block gives points for its length a
 commas, less its share of link text, to its parent, half to the grandparent and less to
 ancestors further up.  The container with the most points, discounted by its own link
 density, is kept together with those siblings that score well or are headings.  An
-enclosing article element wins over a container inside it.  Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts and reader comments are cut out first, by
-element, role and class.
+enclosing article element wins over a container inside it, and articles beside it that
+score well are kept too; one that is mostly links is a teaser.  Menus, headers, footers, sidebars, notices, adverts, forms,
+scripts and reader comments are cut out first: by element, by role, and containers by
+class and id as well.  Inside an article fewer names count, paragraphs are only cut as
+adverts, and words in mid-sentence never are.
 
 Defined results: null, empty and textless pages give an empty text; an unclosed script
 or comment hides the rest of the page, as in browsers; repeated rows get equal results;
-other columns are ignored.  A page is worked on whole, one page at a time, without
+other columns are ignored; an empty table gives an empty one.  A page is worked on whole, one page at a time, without
 recursion, so nesting may be of any depth.
 """
 
@@ -44,12 +46,26 @@ CLOSED_BY = {
 #: What an implied end may not pass.
 SCOPE = frozenset("html body table td th div article section main blockquote".split())
 LISTS = frozenset("ul ol dl table".split())
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|sidebar\w*|side|menus?|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|"
+#: Elements that hold other blocks; only these are cut by a name, never words in mid-sentence.
+CONTAINERS = frozenset("div section header ul ol dl table details center address".split())
+_EVERYWHERE = (
+    r"ads?|adv|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|sidebar\w*|menus?|navbar|nav|navigation|breadcrumbs?|footer|"
     r"cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommend\w*|"
-    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|widgets?|pagination|pager|toolbar|login|signup|search|skip|copyright|legal|disclaimer)(?=$|[\s_-])",
-    re.IGNORECASE,
+    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|widgets?|pagination|pager|toolbar|login|signup"
 )
+#: Names of page furniture that mean something else inside an article (its own header, a
+#: section on search or on legal questions).
+_OUTSIDE = r"(?<!post[_-])(?<!entry[_-])(?<!article[_-])header|masthead|search|skip|copyright|legal|disclaimer"
+
+
+def _names(alternatives: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{alternatives})(?=$|[\s_-])", re.IGNORECASE)
+
+
+BAD_NAME = _names(rf"{_EVERYWHERE}|{_OUTSIDE}|side(?=$|\s)")
+BAD_INSIDE = _names(_EVERYWHERE)
+ADVERT = _names(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*")
+COMMENTS = _names(r"comments?|disqus|repl(?:y|ies)")
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -141,7 +157,7 @@ class Page:
     def _unwanted(self, name: str, rest: str) -> bool:
         if name in CUT:
             return True
-        inside = name == "header" and any(self.tag[e] in ("article", "main") for e in self._open)
+        inside = any(self.tag[e] in ("article", "main") for e in self._open)
         if name == "header" and not inside:
             return True
         if len(rest) < 3 or name in ("html", "body"):
@@ -152,9 +168,11 @@ class Page:
         if attributes.get("role", "").lower() in BAD_ROLE:
             return True
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        if name in KEEP or inside:
-            return bool(re.search(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies))(?=$|[\s_-])", names, re.IGNORECASE))
-        return name in BLOCK | {"span", "ins", "a"} and bool(BAD_NAME.search(names))
+        if name in KEEP or name == "header":
+            return bool(COMMENTS.search(names))
+        if name in CONTAINERS:
+            return bool((BAD_INSIDE if inside else BAD_NAME).search(names))
+        return name in BLOCK and bool(ADVERT.search(names))
 
     def _close(self, name: str) -> None:
         for depth in range(len(self._open) - 1, 0, -1):
@@ -207,7 +225,12 @@ def main_blocks(markup: str | None) -> list[str]:
             best = e
         e = parent[e]
     kept = {best}
-    if tag[best] not in ("article", "body", "html", "#root"):
+    if tag[best] == "article":  # a text in several articles side by side
+        for e in range(1, len(tag)):
+            if tag[e] == "article" and parent[e] == parent[best] and not page.cut[e] and chars[e]:
+                if final[e] >= max(2.0, 0.2 * final[best]) and links[e] / chars[e] < 0.5:
+                    kept.add(e)
+    elif tag[best] not in ("body", "html", "#root"):
         for e in range(1, len(tag)):
             if e != best and parent[e] == parent[best] and not page.cut[e] and chars[e]:
                 density = links[e] / chars[e]
@@ -217,7 +240,8 @@ def main_blocks(markup: str | None) -> list[str]:
                     kept.add(e)
     inside = [False] * len(tag)
     for e in range(len(tag)):
-        inside[e] = e in kept or (e > 0 and inside[parent[e]])
+        teaser = tag[e] == "article" and links[e] >= 0.5 * chars[e]
+        inside[e] = e in kept or (e > 0 and inside[parent[e]] and not teaser)
     return [text for element, text, _ in page.blocks if inside[element]]
 
 
