@@ -25,10 +25,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,27 +118,51 @@ def levels(kind: str, text: str) -> list[str]:
     return found
 
 
-_WORD = re.compile(ta.WORD_RE)
+_WORD = regex.compile(ta.LETTER_RUN)
 _ANY_DIGIT = re.compile("[0-9]")
 _UPPER = {c: chr(c + 32) for c in range(65, 91)}
 
 
-def _hash(word: str) -> int:
-    """The hash that ``Words`` gives a word."""
-    return int(ta.Words(pa.array([word])).hash.view(np.int64)[0])
+def _words_before(text: str, start: int) -> list:
+    """The last WINDOW words that end before ``start``; a word that reaches into it is none."""
+    size = 64
+    while True:
+        low = max(0, start - size)
+        found = list(_WORD.finditer(text, low, start))
+        if found and found[-1].end() == start and _WORD.match(text, start, start + 1):
+            found.pop()
+        # The look-back may have cut its first word.
+        if low == 0:
+            return found[-WINDOW:]
+        if len(found) > WINDOW:
+            return found[-WINDOW:]
+        size *= 4
+
+
+def _words_after(text: str, end: int) -> list:
+    """The first WINDOW words that begin after ``end``; the rest of a word begun before is none."""
+    at = end
+    if end and _WORD.match(text, end - 1, end):
+        begun = _WORD.match(text, end)
+        at = begun.end() if begun else end
+    return list(islice(_WORD.finditer(text, at), WINDOW))
 
 
 def _near(text: str, spans) -> set[tuple[str, str]]:
     """(term, entity or group) for the words around each entity, entities themselves left out."""
     found = set()
     taken = sorted((a, b) for _, a, b in spans)
-    clear = lambda a, b: not any(x < b and a < y for x, y in taken)
+    starts = [a for a, _ in taken]
+    # The furthest end among the spans up to each one: overlaps are found by bisection.
+    reach = list(accumulate((b for _, b in taken), max))
+
+    def clear(a: int, b: int) -> bool:
+        before = bisect_left(starts, b)
+        return not before or reach[before - 1] <= a
+
     for kind, start, end in spans:
         names = levels(kind, text[start:end])
-        left = [m for m in _WORD.finditer(text, max(0, start - 40 * WINDOW), start)]
-        right = [m for m in _WORD.finditer(text, end, min(len(text), end + 40 * WINDOW))]
-        left = [m for m in left if m.start() > 0 or start < 40 * WINDOW][-WINDOW:]
-        for m in left + right[:WINDOW]:
+        for m in _words_before(text, start) + _words_after(text, end):
             word = m[0].translate(_UPPER)
             if len(word.encode()) >= MIN_TERM_BYTES and not word.isdigit() and clear(*m.span()):
                 found.update((word, name) for name in names)
@@ -177,10 +204,11 @@ def _terms_in(bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.pieces(batch, "text", 1 << 21):
-                words = ta.Words(part.column("text"))
+                words = ta.Words(ta.letter_runs(part.column("text")))
                 at = np.flatnonzero(maybe_in(bitmap, words.hash))
-                # Offsets in code points: bytes that do not continue a character.
-                points = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)]) if len(at) else np.zeros(1, np.int64)
+                # Offsets in code points: bytes of the text as given that do not continue a character.
+                data, _ = ta.buffer_of(part.column("text"))
+                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if len(at) else np.zeros(1, np.int64)
                 base = points[words.offsets[words.text[at]]] if len(at) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -199,7 +227,7 @@ def _texts_with(bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.pieces(batch, "text", 1 << 21):
-                words = ta.Words(part.column("text"))
+                words = ta.Words(ta.letter_runs(part.column("text")))
                 at = np.flatnonzero(maybe_in(bitmap, words.hash))
                 hashes, text = words.hash[at], words.text[at]
                 order = np.lexsort((text, hashes))
@@ -290,7 +318,9 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     def swap(text, spans):
         return text.combine(spans, lambda t, s: replace_spans(t, list(s)) if s is not None and t is not None else t)
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(swap("text", "_spans"))
+    # Python gets only the texts that change; a null goes out for every other one.
+    changed = swap(F.when(F.col("_spans").isNotNull(), F.col("text")), "_spans")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(changed)
     out = keyed.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

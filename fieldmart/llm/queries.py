@@ -85,6 +85,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
         F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
         F.array_join(F.concat("base", "terms"), ",").alias("spans"),
+        (F.size("base") + F.size("terms") > 0).alias("has_personal_data"),
     )
 
 

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # A word is a run of ASCII letters and digits and of all other
 # characters beyond ASCII; A-Z count as a-z.
@@ -78,6 +79,27 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: The word pattern once other signs than letters and marks beyond ASCII are separators too.
+LETTER_RUN = r"[0-9A-Za-z\p{L}\p{M}]+"
+
+# Signs beyond ASCII that are neither letters nor marks, by their length in bytes.
+_SIGNS = [
+    (r"[^\pL\pM\x{0}-\x{7F}\x{800}-\x{10FFFF}]", "  "),
+    (r"[^\pL\pM\x{0}-\x{7FF}\x{10000}-\x{10FFFF}]", "   "),
+    (r"[^\pL\pM\x{0}-\x{FFFF}]", "    "),
+]
+
+
+def letter_runs(texts: pa.Array) -> pa.Array:
+    """The texts with typographic signs beyond ASCII as blanks, every letter at its old byte."""
+    data, _ = buffer_of(texts)
+    if not len(data) or int(data.max()) < 0x80:
+        return texts
+    for pattern, blanks in _SIGNS:
+        texts = pc.replace_substring_regex(texts, pattern, blanks)
+    return texts
+
+
 class Words:
     """Words of a batch: hash, text number, and byte range of each; words per text."""
 
