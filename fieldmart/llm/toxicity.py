@@ -20,11 +20,13 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,14 +206,54 @@ class Matcher:
         return out[inverse]
 
 
-def is_quoted(text: str, start: int, end: int, near: list[str]) -> bool:
-    """Whether text[start:end] is cited: between quotation marks of its line, or reported."""
-    if not REPORTING.isdisjoint(near):
-        return True
-    line = text[text.rfind("\n", 0, start) + 1 : start]
-    if line.count('"') % 2 and '"' in text[end : end + 400].partition("\n")[0]:
-        return True
-    return any(line.rfind(a) > line.rfind(b) for a, b in zip("“„«‹", "”“»›", strict=True))
+# Quotation marks in UTF-8, and the mark that closes what each one opens.
+_MARKS = re.compile("|".join(["\n", *'"“”„«»‹›']).encode())
+_PAIR = {a.encode(): b.encode() for a, b in zip("«»‹›", "»«›‹", strict=True)}
+_LOW, _HIGH, _CLOSE, _STRAIGHT = "„".encode(), "“".encode(), "”".encode(), b'"'
+
+
+def quotations(text: bytes) -> tuple[list[int], list[int]]:
+    """Starts and ends, in bytes, of what stands between quotation marks of one line, by start.
+
+    Marks are looked at once, in order, however far apart.  The sign “ closes „ and opens
+    otherwise; « and » close each other.  A mark that opens by its shape and is never
+    closed counts to the end of its line, as paragraphs of one long quotation begin so;
+    one that may also close (the straight mark, », ›) does not.
+    """
+    found: list[tuple[int, int]] = []
+    open_: dict[bytes, int] = {}
+
+    def end_line(at: int) -> None:
+        found.extend((since, at) for mark, since in open_.items() if mark not in (_STRAIGHT, "»".encode(), "›".encode()))
+        open_.clear()
+
+    for m in _MARKS.finditer(text):
+        mark, at = m[0], m.start()
+        if mark == b"\n":
+            end_line(at)
+            continue
+        if mark == _STRAIGHT:
+            closes = mark if mark in open_ else None
+        elif mark in _PAIR:
+            closes = _PAIR[mark] if _PAIR[mark] in open_ else None
+        else:
+            closes = _LOW if mark in (_HIGH, _CLOSE) and _LOW in open_ else _HIGH if mark == _CLOSE and _HIGH in open_ else None
+        if closes is not None:
+            found.append((open_.pop(closes), at))
+        elif mark != _CLOSE:
+            open_.setdefault(mark, at)
+    end_line(len(text))
+    found.sort()
+    # Quotations inside or across others become one.
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in found:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
 
 
 FEATURES = 5
@@ -219,23 +261,22 @@ FEATURES = 5
 
 def features(part: pa.Array, matcher: Matcher) -> tuple[np.ndarray, np.ndarray]:
     """Per text: abuse, misspelled abuse, quoted, misspelled quoted (log counts), abuse density; all matches."""
-    words = ta.Words(part)
+    words = ta.Words(ta.letter_runs(part))
+    raw, _ = ta.buffer_of(part)
     codes = matcher.codes(words)
     counts = np.zeros((len(part), 4))
     at = np.flatnonzero(codes >= 0)
-    texts: dict[int, bytes] = {}
+    current, marks = -1, ([], [])
     for i in at.tolist():
         t = int(words.text[i])
-        if t not in texts:
-            texts[t] = words.data[words.offsets[t] : words.offsets[t + 1]].tobytes()
-        raw, base = texts[t], int(words.offsets[t])
-        a, b = int(words.start[i]) - base, int(words.end[i]) - base
-        low, high = max(i - WINDOW_WORDS, int(words.first[t])), min(i + WINDOW_WORDS + 1, int(words.first[t + 1]))
-        near = [words.word(j) for j in range(low, high) if j != i]
-        # A quotation mark counts within its line, up to 400 bytes away.
-        left = raw[max(0, a - 400) : a].decode("utf-8", "ignore")
-        middle, right = raw[a:b].decode("utf-8", "ignore"), raw[b : b + 400].decode("utf-8", "ignore")
-        quoted = is_quoted(left + middle + right, len(left), len(left) + len(middle), near)
+        if t != current:  # matches come in order of their texts
+            current, marks = t, quotations(raw[words.offsets[t] : words.offsets[t + 1]].tobytes())
+        start = int(words.start[i]) - int(words.offsets[t])
+        k = bisect_right(marks[0], start)
+        quoted = k > 0 and start < marks[1][k - 1]
+        if not quoted:
+            low, high = max(i - WINDOW_WORDS, int(words.first[t])), min(i + WINDOW_WORDS + 1, int(words.first[t + 1]))
+            quoted = not REPORTING.isdisjoint(words.word(j) for j in range(low, high) if j != i)
         counts[t, 2 * quoted + (codes[i] > 1)] += WEAK if codes[i] % 2 else 1
     density = (counts[:, 0] + counts[:, 1]) / np.maximum(words.count, 1)
     return np.column_stack([np.log1p(counts), np.sqrt(density)]), np.bincount(words.text[at], minlength=len(part))
@@ -243,13 +284,16 @@ def features(part: pa.Array, matcher: Matcher) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- learning ---------------------------------------------------------------------------
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(ta.LETTER_RUN)
+_DIGIT = re.compile("[0-9]")
 
 
 def terms_of(text: str | None) -> set[str]:
-    """Words and their stems of four letters or more."""
+    """Words and their stems of four letters or more; words with a digit teach nothing."""
     found = set()
     for word in set(_LETTERS.findall((text or "").lower())):
+        if _DIGIT.search(word):
+            continue
         found.add(word)
         found.update(word[:n] + "*" for n in STEM_LENGTHS if n < len(word))
     return found
@@ -361,7 +405,7 @@ def _near_terms(terms: list[str]):
         matcher = Matcher(Lexicon(terms))
         for batch in batches:
             for part in ta.pieces(batch, "text", 1 << 21):
-                words = ta.Words(part.column("text"))
+                words = ta.Words(ta.letter_runs(part.column("text")))
                 at = np.flatnonzero(matcher.codes(words) > 1).tolist()
                 found = sorted({(int(words.text[i]), words.word(i)) for i in at})
                 toxic = part.column("toxic").take(pa.array([t for t, _ in found], pa.int64())).cast(pa.int32())
