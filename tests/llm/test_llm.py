@@ -215,6 +215,20 @@ def test_misspelled_stems_and_short_terms_match():
     assert n.tolist() == [1, 1, 0] and 0 < x[0, 1] < x[1, 1] and x[:, 0].tolist() == [0, 0, 0]
 
 
+def test_signs_beyond_ascii_end_words_and_quotations_have_no_width():
+    matcher = toxicity.Matcher(toxicity.Lexicon(["idiot", "scum"]))
+    far = "plain " * 200
+    texts = ["“idiot” here", "idiot—really", "such an idiot\u00a0he is", "¡idiot!", "so „idiot“ then idiot", f'x "{far} idiot {far}" y',
+             f'"{far}" then {far} idiot "{far}"', f'open " {far} idiot', "« idiot » then", f"“{far}\nidiot”", None, "日本idiot", 'a "b" idiot "c"']
+    x, n = toxicity.features(pa.array(texts), matcher)
+    quoted = [(bool(a), bool(q)) for a, q in zip(x[:, 0], x[:, 2])]
+    assert n.tolist() == [1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 0, 0, 1]
+    assert quoted == [(False, True), (True, False), (True, False), (True, False), (True, True), (False, True),
+                      (True, False), (True, False), (False, True), (True, False), (False, False), (False, False), (True, False)]
+    assert {w for t in texts for w in toxicity.terms_of(t)} >= {"idiot", "really", "idio*"}
+    assert not any(c in w for t in texts for w in toxicity.terms_of(t) for c in "“”„—¡«»\u00a0")
+
+
 def test_toxicity_learns_and_heeds_quotation(spark, odd):
     text = lambda i, w: f"plain words stand here about item number{i} and then {w} follows with more plain words"
     docs = [(i, text(i, "stupid" if i % 3 == 0 else "gentle")) for i in range(300)]
@@ -246,21 +260,47 @@ def test_html_divs_without_article():
     assert html.main_blocks(page) == ["Title", PROSE + ", yes.", PROSE]
 
 
+def brute_hits(text, items):
+    """Words of the text inside a window of any item, and the items that occur."""
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    doc, hit, met = find(text), set(), set()
+    for item_id, item in items:
+        item = find(item)
+        n = min(10, len(item))
+        for i in range(len(item) - n + 1 if n else 0):
+            for j in range(len(doc) - n + 1):
+                if doc[j : j + n] == item[i : i + n]:
+                    hit.update(range(j, j + n))
+                    met.add(item_id)
+    return len(doc), len(hit), sorted(map(str, met))
+
+
+def contaminated(spark, docs, items):
+    frame = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return sorted((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in frame.collect())
+
+
 def test_decontamination_equals_brute_force(spark, odd, empty):
     rnd = random.Random(2)
     pool = [f"v{i}" for i in range(40)]
     items = [(i, " ".join(rnd.choices(pool, k=n))) for i, n in enumerate([1, 3, 9, 10, 11, 25, 60, 0])] + [(20, None), (21, "V1 v2 v3"), (22, "v1 v2 v3")]
     docs = [(i, " ".join(rnd.choices(pool, k=30)) + " " + " ".join(items[i % 8][1].split()[: rnd.randint(5, 40)]) + " end") for i in range(60)] + [(60, None), (61, ""), (0, "v1 v2 v3")]
-    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    brute = sorted((d, len(words(t)), *[(n, [str(i) for i in ids]) for n, ids in [decontaminate.hits(t, items)]][0]) for d, t in docs)
-    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got) == brute
+    assert contaminated(spark, docs, items) == sorted((d, *brute_hits(t, items)) for d, t in docs)
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.clean(odd, nothing).count() == len(ODD) and decontaminate.contamination(empty, nothing).count() == 0
+    items = spark.createDataFrame([(1, "the quick brown fox", "x")], "item_id long, text string, doc_id string")
+    assert decontaminate.contamination(odd, items).count() == len(ODD) and decontaminate.contamination(odd, items.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_hits_of_a_window():
-    item = " ".join(f"a{i}" for i in range(12))
-    assert decontaminate.hits("x " + item + " y", [(1, item)]) == (12, [1]) and decontaminate.hits(item[:20], [(1, item)]) == (0, [])
+def test_a_phrase_of_all_items_and_documents_is_no_hit(spark):
+    phrase = "which of the following is true of the"
+    items = [(i, f"{phrase} item{i} a{i} b{i}, c{i}") for i in range(60)] + [(60, "É—x  " * 6)]
+    docs = [(i, f"{phrase} text{i} of another kind. {phrase} " + (items[i][1].upper() if i % 7 == 0 else "end")) for i in range(60)]
+    docs += [(100, "é—X" + "." * 5000 + "É—x É—X É—x É—x É—x"), (101, "wörter " * 50_000 + items[3][1])]
+    want = sorted((d, *brute_hits(t, items)) for d, t in docs if d != 101)
+    got = contaminated(spark, docs, items)
+    assert got[:-1] == want and got[-1][2:] == (12, ["3"])
+    assert all(len(ids) <= 1 for *_, ids in got)
 
 
 def test_quality_counts_equal_brute_force(spark, odd):
@@ -331,6 +371,25 @@ def test_telling_terms_are_removed(spark, odd, empty):
     assert pii.sanitise(empty).count() == 0
 
 
+def test_neighbours_are_whole_words_at_any_distance():
+    near = lambda t: {w for w, _ in pii._near(t, pii.base_spans(t))}
+    long, run = "w" * 150, "日" * 300
+    assert near(f"one two {long}{' ' * 500}three{',' * 400}ann@mail.org{' ' * 300}{run}{'-' * 200}four five six") == {"two", long, "three", run, "four", "five"}
+    assert near("«zorblax» 1.2.3.4 — “next”") == {"zorblax", "next"}
+    assert near("abc1.2.3.4def ghi") == {"ghi"} and near("1.2.3.4") == set()
+    rnd = random.Random(8)
+    for _ in range(500):
+        text = "".join(rnd.choices(["abc", "defg", " ", "é", "—", "9.9.9.9", "x@y.zz", "  ", "日本"], k=rnd.randint(1, 40)))
+        spans = pii.base_spans(text)
+        found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9A-Za-zé日本]+", text)]
+        want = set()
+        for _, a, b in spans:
+            left = [w for w in found if w[1] <= a][-3:]
+            right = [w for w in found if w[0] >= b][:3]
+            want |= {w for s, e, w in left + right if len(w.encode()) >= 3 and not w.isdigit() and not any(x < e and s < y for _, x, y in spans)}
+        assert near(text) == want, text
+
+
 def test_terms_tell_entities_of_any_level_in_tables_of_any_size(spark):
     def marked(docs):
         frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
