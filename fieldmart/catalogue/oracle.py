@@ -580,6 +580,10 @@ def oracle_sql() -> dict[str, str]:
         "stream_bronze": _with("retailer_raw", f"""
             SELECT retailer_id, week, avg_weekly_revenue, '{LOAD_TIME[:10]}' AS ingestion_date FROM retailer_raw"""),
         "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type, value FROM events",
+        "stream_late_rows": """
+            WITH mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 DAY AS w FROM events WHERE event_id % 2 = 0),
+            told AS (SELECT coalesce(event_id % 2 = 1 AND ts <= w, false) AS is_late FROM events, mark)
+            SELECT count(*) FILTER (is_late) AS late, count(*) FILTER (NOT is_late) AS kept FROM told""",
         "stream_metric_rollup": _bucketed("1 hour", _closed("1 hour")),
         "stream_alarm": _alarm(_closed("5 minutes")),
         "stream_upsert": _with("unmatched", f"""

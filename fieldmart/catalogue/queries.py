@@ -25,7 +25,7 @@ from fieldmart.plans import bronze, gold, mart, medallion, partial_gold, reports
 from fieldmart.session import configure
 from fieldmart.sources import catalog, csv, lake
 from fieldmart.sources.staging import fresh_path, stage
-from fieldmart.streaming import jobs
+from fieldmart.streaming import jobs, late
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -828,6 +828,22 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(target).select("event_id", "user_id", "event_type", "value")
 
 
+@query
+def stream_late_rows(spark, sf_dir):
+    """Events of odd number delivered after all others: those behind the watermark are counted, the rest kept."""
+    landing, target, counts, checkpoint = (fresh_path(spark, n) for n in ("landing", "on-time", "late", "offsets"))
+    events = _events(spark, sf_dir)
+    for odd in (0, 1):
+        events.filter(F.col("event_id") % 2 == odd).write.mode("append").parquet(landing)
+        rows = jobs.read_files(spark, landing, events.schema)
+        kept = jobs.drop_redelivered(rows, ["event_id"], delay="10 days")
+        run = jobs.append_parquet(kept, target, checkpoint)
+        run.awaitTermination()
+        late.keep_recent(run, spark, counts)
+    found = late.late_rows(spark, counts).agg(F.coalesce(F.sum("n_late"), F.lit(0)).alias("late"))
+    return found.crossJoin(spark.read.parquet(target).agg(F.count("*").alias("kept")))  # one row each
+
+
 @query
 def stream_metric_rollup(spark, sf_dir):
     """Hourly metrics of the windows the watermark has closed."""

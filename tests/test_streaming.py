@@ -1,11 +1,12 @@
 import os
+import time
 
 from pyspark.sql import functions as F
 
 from fieldmart import schemas
 from fieldmart.operators import metrics
 from fieldmart.sources import lake
-from fieldmart.streaming import jobs
+from fieldmart.streaming import jobs, late
 from samples import RETAILER_SCHEMA, RETAILERS
 from test_medallion import names, write_csv
 
@@ -93,3 +94,30 @@ def test_buffer_interval_keeps_the_query_running(spark, tmp_path):
         assert running.isActive and spark.read.parquet(str(tmp_path / "out")).count() == 1
     finally:
         running.stop()
+
+
+def test_late_rows_are_counted_once_per_batch(spark, tmp_path):
+    landing, target, offsets, counts = (str(tmp_path / n) for n in ("landing", "out", "offsets", "late"))
+    assert late.late_rows(spark, counts).count() == 0
+    listener = late.LateRowListener(spark, counts)
+    spark.streams.addListener(listener)
+    try:
+        deliveries = [
+            [(1, "2024-01-01 12:00:00", 1.0, 0), (2, "2024-01-01 12:05:00", 1.0, 0)],
+            [(i, "2024-01-01 10:00:00", 1.0, 0) for i in range(3, 10)] + [(20, "2024-01-01 12:01:00", None, 0), (21, None, 1.0, 0)],
+            [(30, "2024-01-01 09:00:00", 1.0, 0), (31, "2024-01-01 13:00:00", 1.0, 0)],
+        ]
+        for delivery in deliveries:
+            events(spark, delivery).write.mode("append").parquet(landing)
+            rows = jobs.read_files(spark, landing, events(spark, delivery).schema)
+            query = jobs.append_parquet(jobs.drop_redelivered(rows, ["event_id"]), target, offsets)
+            query.awaitTermination()
+            late.keep_recent(query, spark, counts)
+            late.keep_recent(query, spark, counts)
+        time.sleep(2)  # the listener reports the same batches
+    finally:
+        spark.streams.removeListener(listener)
+    found = late.late_rows(spark, counts)
+    assert sorted(r["n_late"] for r in found.collect()) == [1, 7] and {r["operator"] for r in found.collect()} == {0}
+    kept = spark.read.parquet(target).count()
+    assert kept == 5 and kept + sum(r["n_late"] for r in found.collect()) == sum(map(len, deliveries))
