@@ -3,8 +3,8 @@
 Learning: terms (words, and stems: prefixes shared by many words) that labelled toxic
 texts use far more often than others form the lexicon.  It is held as a trie.  A word is
 matched by the intersection of that trie with Levenshtein automata, determinised as words
-need it.  Each match is weighed by its context window: inside quotation marks or
-next to a word of reporting it counts as quotation, otherwise as abuse.  A logistic
+need it.  Each match is weighed by its context: inside quotation marks of its line or
+within ``WINDOW_WORDS`` words of one of reporting it counts as quotation, otherwise as abuse.  A logistic
 model turns the counts into a score.
 
 The lexicon and the model are fitted on at most ``max_train`` labelled rows, taken in the
@@ -13,8 +13,8 @@ word of every text.
 
 Defined results: a null or empty text has no matches and scores as such; rows without a
 label, or with a null one, do not teach; several labels of one document count as toxic if
-any is; with nothing to learn from, every score is 0; repeated rows get equal results;
-other columns are ignored.
+any is; with nothing to learn from, every score is 0; repeated rows get equal results; an empty
+table gives an empty result; texts of any length are scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
