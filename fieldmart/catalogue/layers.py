@@ -71,8 +71,9 @@ def silver_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def silver_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        stock = silver.enrich_inventory(views.inventory(spark, sf_dir), views.retailers(spark, sf_dir))
-        frame = silver.type_demand(stock)
+        # An inventory row has one retailer, so its lines can be enriched before they are summed.
+        lines = silver.enrich_inventory(views.sold_lines(spark, sf_dir), views.retailers(spark, sf_dir))
+        frame = silver.type_demand(views.stock_of(lines, ["district", "state"]))
         frame = frame.withColumn("ingestion_date", frame["week"].cast("date"))
         return frame.withColumn("ingestion_timestamp", frame["ingestion_date"].cast("timestamp"))
 
@@ -82,7 +83,7 @@ def silver_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def computed_gold(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Gold table as a plan over Silver."""
     if table == "retailer_kpi":
-        return gold.retailer_kpi(silver_retailers(spark, sf_dir), strict=True)
+        return gold.retailer_kpi(silver_retailers(spark, sf_dir), strict=True, stage_cut_offs=True)
     if table == "district_risk":
         return gold.district_risk(silver_districts(spark, sf_dir), strict=True)
     return gold.demand_forecast(gold.demand_series(silver_demand(spark, sf_dir)), strict=True)

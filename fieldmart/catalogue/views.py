@@ -5,12 +5,16 @@ frames are derived: a customer is a retailer, its market segment the tehsil, its
 nation the district, its region the state; a part type is an SKU; events per
 nation and day stand for the weather and pest feed.
 
-Facts are aggregated before they meet a dimension wherever the grain allows, so a
-hot customer or user shuffles as one row per task.
+Facts are aggregated before they meet a dimension where that makes them fewer, so a hot
+user shuffles as one row per task.  Where it does not, as with the orders and lines of a
+customer, they meet it first: the join's shuffle then serves the grouping as well, and
+Spark splits a hot customer on the join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +43,15 @@ def _retailer_id(key: str) -> Column:
 
 
 def _month(column: str) -> Column:
-    return F.date_format(F.trunc(F.col(column).cast("date"), "month"), "yyyy-MM-dd")
+    """First day of the month, as a date: a narrower key than its text."""
+    return F.trunc(F.col(column).cast("date"), "month")
 
 
 def retailer_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer and ISO week of its orders."""
+    """One row per customer and ISO week of its orders.
+
+    The week is its Monday until the rows are shaped, which keeps it narrow in shuffles.
+    """
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
@@ -52,35 +60,40 @@ def retailer_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min("l_quantity").alias("least"),
         )
     )
-    day = F.col("o_orderdate").cast("date")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"),
+        scaled(F.col("o_totalprice"), 2).alias("cents"), (F.col("o_orderstatus") == "P").alias("out_of_stock"),
+    )
+    # Joined before it is grouped, one shuffle by customer serves both, and a hot customer
+    # is split by the join.  The number keeps customer rows of one key apart.
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", F.monotonically_increasing_id().alias("row"))
     weekly = (
-        table(spark, sf_dir, "orders")
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .groupBy("o_custkey", iso_week(day).alias("week"), F.weekofyear(day).alias("week_of_year"))
+        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("o_custkey", F.trunc("day", "week").alias("monday"), *customers.columns[1:])
         .agg(
-            F.sum(scaled(F.col("o_totalprice"), 2)).alias("cents"),
-            F.max(day).alias("last_visit"),
-            F.count_if(F.col("o_orderstatus") == "P").cast("int").alias("stockout_events"),
+            F.sum("cents").alias("cents"),
+            F.max("day").alias("last_visit"),
+            F.count_if("out_of_stock").cast("int").alias("stockout_events"),
             F.sum("quantity").alias("quantity"),
             F.min("least").alias("least"),
         )
     )
     return (
-        weekly.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(districts(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+        weekly.join(districts(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             _retailer_id("o_custkey").alias("retailer_id"),
             F.col("c_name").alias("retailer_name"),
             "state",
             "district",
             F.col("c_mktsegment").alias("tehsil"),
-            "week",
+            iso_week(F.col("monday")).alias("week"),
             (F.col("cents") / 1000).alias("avg_weekly_revenue"),
             F.datediff(F.lit("2001-12-31").cast("date"), "last_visit").alias("days_since_last_visit"),
             "stockout_events",
             (F.col("quantity") / 7).alias("avg_depletion_rate"),
             (F.col("least") / 5).alias("weeks_of_stock"),
-            F.date_add(F.lit("2024-01-01").cast("date"), F.col("week_of_year") % 30).alias("ingestion_date"),
+            F.date_add(F.lit("2024-01-01").cast("date"), F.weekofyear("monday") % 30).alias("ingestion_date"),
         )
         .withColumn("ingestion_timestamp", F.col("ingestion_date").cast("timestamp"))
     )
@@ -116,35 +129,45 @@ def district_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with SKU and month, joined to their order."""
+def sold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with retailer, SKU and month."""
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", _month("l_shipdate").alias("week"),
-        F.col("l_quantity").cast("bigint").alias("quantity"), "l_linestatus",
+        "l_orderkey", "l_partkey", _month("l_shipdate").alias("month"),
+        F.col("l_quantity").cast("bigint").alias("quantity"), (F.col("l_linestatus") == "O").alias("is_open"),
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
-        orders, F.col("l_orderkey") == F.col("o_orderkey")
+    return (
+        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(_retailer_id("o_custkey").alias("retailer_id"), "p_type", "month", "quantity", "is_open")
     )
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw inventory rows: one per customer, part type and month."""
+    return stock_of(sold_lines(spark, sf_dir))
+
+
+def stock_of(lines: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Lines summed to one row per retailer, SKU and month; ``also`` names further columns of a retailer.
+
+    Lines that were joined by retailer are summed without another shuffle.
+    """
     return (
-        _sold(spark, sf_dir)
-        .groupBy("o_custkey", "p_type", "week")
+        lines.groupBy("retailer_id", "p_type", "month", *also)
         .agg(
             F.sum("quantity").alias("quantity"),
-            F.sum(F.when(F.col("l_linestatus") == "O", F.col("quantity")).otherwise(0)).alias("open_quantity"),
+            F.sum(F.when(F.col("is_open"), F.col("quantity")).otherwise(0)).alias("open_quantity"),
         )
         .select(
-            _retailer_id("o_custkey").alias("retailer_id"),
+            "retailer_id",
             F.col("p_type").alias("sku_id"),
             F.concat(F.lit("SKU "), "p_type").alias("sku_name"),
             F.col("quantity").cast("double").alias("sku_qty"),
             (F.col("open_quantity") * 2).cast("double").alias("current_stock_qty"),
-            F.col("week").alias("week_end_date"),
+            F.date_format("month", "yyyy-MM-dd").alias("week_end_date"),
+            *also,
         )
     )
 

@@ -119,3 +119,54 @@ def test_scans_read_only_the_columns_they_need(spark, sf_dir):
     plan = plan_of(views.retailer_weeks(spark, sf_dir))
     lineitem = next(line for line in plan.splitlines() if "l_orderkey" in line and "FileScan" in line)
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in lineitem
+
+
+def exchanged(plan, kind=r"hashpartitioning\((.*?), \d+\)"):
+    """Columns of every shuffle by key."""
+    return [re.sub(r"#\d+L?", "", found) for found in re.findall(f"Exchange {kind}", plan)]
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_retailer_weeks_shuffle_orders_once_by_customer(spark, sf_dir, no_broadcast):
+    plan = plan_of(views.retailer_weeks(spark, sf_dir))
+    assert [c for c in exchanged(plan) if c.startswith("o_custkey")] == ["o_custkey"]
+
+
+def test_enriched_stock_is_summed_in_the_shuffle_of_its_join(spark, sf_dir, no_broadcast):
+    lines = silver.enrich_inventory(views.sold_lines(spark, sf_dir), views.retailers(spark, sf_dir))
+    plan = plan_of(views.stock_of(lines, ["district", "state"]))
+    # One shuffle of the lines, one of the master.
+    assert [c for c in exchanged(plan) if "p_type" in c] == [] and exchanged(plan).count("retailer_id") == 2
+
+
+def test_customers_of_one_key_keep_a_row_each(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("region", [(0, "R")], "r_regionkey int, r_name string")
+    write("nation", [(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    write("customer", [(1, "c", 0, "m"), (1, "c", 0, "m"), (2, "d", 0, "m")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string")
+    orders = spark.createDataFrame([(10, 1, "P", 12.34, "1997-03-03 00:00:00"), (11, 1, "O", 1.0, "1997-03-09 00:00:00"), (12, 2, None, None, None)],
+                                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string")
+    orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    write("lineitem", [(10, 7.0), (10, 3.0)], "l_orderkey long, l_quantity double")
+    rows = views.retailer_weeks(spark, str(tmp_path)).select("retailer_id", "week", "avg_weekly_revenue", "stockout_events", "avg_depletion_rate", "weeks_of_stock").collect()
+    twice = ("R1", "1997-W10", 1.334, 1, 10 / 7, 0.6)
+    assert sorted(map(tuple, rows)) == [twice, twice, ("R2", None, None, 0, None, None)]
+
+
+def test_gold_retailer_rows_are_shuffled_once_by_retailer(spark, sf_dir, no_broadcast):
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")  # the staged cut-offs are small
+    plan = plan_of(layers.computed_gold(spark, sf_dir, "retailer_kpi"))
+    assert exchanged(top_level(plan)) == ["retailer_id"]
+
+
+def test_tasks_read_small_shares_of_a_shuffle(spark):
+    # 64 MB of a shuffle unfold to more than 1 GB in a task.
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
