@@ -12,6 +12,9 @@ RUNTIME_CONF = {
     # A small shuffle may still open hundreds of partition folders on write, so it
     # keeps all cores busy; large shuffles never come near this floor.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # Rows of the layers shrink more than tenfold in a shuffle, so Spark's 64 MB would
+    # unfold to over 1 GB where a task sorts two sides and aggregates.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot join partitions even where that costs one more exchange: a
     # single district or retailer may hold a third of the rows.
