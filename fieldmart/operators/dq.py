@@ -3,7 +3,8 @@
 A rule is an aggregate expression giving its number of failures.  All rules of a
 table run in one pass: partial aggregates are combined in the map tasks, and a
 uniqueness rule adds one key-wise exchange whose rows are already collapsed per
-task, so a hot key costs nothing extra.  Rules report; they never drop rows.
+task, so a hot key costs nothing extra.  Where the input is dealt out by columns of the
+key already, as after a join, there is no exchange.  Rules report; they never drop rows.
 """
 
 from __future__ import annotations
@@ -29,11 +30,20 @@ RESULT_COLUMNS = ("rule", "passed", "fail_count", "total", "fail_pct", "details"
 
 @dataclass(frozen=True)
 class Rule:
-    """A named check: failures as an aggregate, details from (fail count, total)."""
+    """A named check: failures as an aggregate, details from (fail count, total).
+
+    Failures that are a number of rows also name the ``test`` those rows meet, and rows
+    beyond the first per key name its columns, ``keys``; a least number of rows is named as
+    such.  Such rules need no distinct aggregate: rows are grouped by key and the groups
+    are added up.
+    """
 
     name: str
     failures: Column
     details: Callable[[Column, Column], Column]
+    test: Column | None = None
+    keys: tuple[str, ...] = ()
+    least: int | None = None
 
 
 def _listed(columns: Sequence[str]) -> str:
@@ -63,15 +73,18 @@ def not_null(df: DataFrame, columns: Sequence[str], nan_as_null: bool = False, s
         f"NOT_NULL({_listed(columns)})",
         F.count_if(_any(tests)),
         _fixed(NOT_NULL_DETAILS.format(columns=list(columns))),
+        _any(tests),
     )
 
 
 def non_negative(df: DataFrame, columns: Sequence[str]) -> Rule:
     """Rows with a value below zero in any column; NULL passes."""
+    negative = _any([F.col(c) < 0 for c in _present(df, columns)])
     return Rule(
         f"NON_NEGATIVE({_listed(columns)})",
-        F.count_if(_any([F.col(c) < 0 for c in _present(df, columns)])),
+        F.count_if(negative),
         _fixed(NON_NEGATIVE_DETAILS.format(columns=list(columns))),
+        negative,
     )
 
 
@@ -84,6 +97,7 @@ def unique(df: DataFrame, keys: Sequence[str]) -> Rule:
         f"UNIQUE({_listed(present)})",
         total - distinct,
         _fixed(UNIQUE_DETAILS.format(columns=present)),
+        keys=tuple(present),
     )
 
 
@@ -95,6 +109,7 @@ def min_rows(count: int = 1) -> Rule:
         lambda fails, total: F.format_string(
             MIN_ROWS_DETAILS.format(min_rows=count, total="%d"), total
         ),
+        least=count,
     )
 
 
@@ -108,6 +123,7 @@ def freshness(column: str, max_hours: int = 48, as_of: Column | None = None) ->
         lambda fails, total: F.format_string(
             FRESHNESS_DETAILS.format(fails="%d", hours=max_hours), fails
         ),
+        F.col(column) < oldest,
     )
 
 
@@ -124,12 +140,37 @@ def _result(rule: Rule, fails: Column, total: Column) -> Column:
     )
 
 
+def _counted_by_key(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> DataFrame:
+    """Total and failures of all rules, one row, from one grouping by the key of the uniqueness rule."""
+    tests = {f"_fails_{i}": rule.test for i, rule in enumerate(rules) if rule.test is not None}
+    per_key = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_total"), *[F.count_if(test).alias(name) for name, test in tests.items()]
+    )
+    summed = per_key.agg(
+        F.count(F.lit(1)).alias("_distinct"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_total", *tests)]
+    )
+    total, counts = F.col("_total"), []
+    for i, rule in enumerate(rules):
+        name = f"_fails_{i}"
+        if rule.keys:
+            counts.append((total - F.col("_distinct")).alias(name))
+        elif rule.least is not None:
+            counts.append(F.when(total >= rule.least, 0).otherwise(1).cast("bigint").alias(name))
+        else:
+            counts.append(F.col(name))
+    return summed.select("_total", *counts)
+
+
 def checked(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row holding ``rules``, the array of all rule results, from one pass."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_total"),
-        *[rule.failures.alias(f"_fails_{i}") for i, rule in enumerate(rules)],
-    )
+    keys = {rule.keys for rule in rules if rule.keys}
+    if len(keys) == 1 and all(rule.test is not None or rule.keys or rule.least is not None for rule in rules):
+        counts = _counted_by_key(df, rules, keys.pop())
+    else:
+        counts = df.agg(
+            F.count(F.lit(1)).alias("_total"),
+            *[rule.failures.alias(f"_fails_{i}") for i, rule in enumerate(rules)],
+        )
     entries = [_result(rule, F.col(f"_fails_{i}"), F.col("_total")) for i, rule in enumerate(rules)]
     return counts.select(F.array(*entries).alias("rules"))
 

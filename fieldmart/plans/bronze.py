@@ -154,3 +154,8 @@ def read_bronze(spark: SparkSession, bronze: str, dataset: str) -> DataFrame | N
     if frame is None or BATCH not in frame.columns:
         return frame
     return frame.filter(F.col(BATCH).isin(sorted(ledger.entries(spark, f"{bronze}/{LOG}")))).drop(BATCH)
+
+
+def bronze_days(spark: SparkSession, bronze: str, dataset: str) -> list[str]:
+    """Folders of the days that a Bronze table holds: a listing, no data."""
+    return [name for name in files.subfolders(spark, f"{bronze}/{dataset}") if name.startswith("ingestion_date=")]

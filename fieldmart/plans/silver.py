@@ -13,7 +13,7 @@ from fieldmart.functions import classify
 from fieldmart.operators import dq
 from fieldmart.operators.shaping import typed, with_default
 from fieldmart.operators.windows import keep_latest
-from fieldmart.plans.bronze import read_bronze
+from fieldmart.plans.bronze import bronze_days, read_bronze
 from fieldmart.sources import files
 from fieldmart.sources.lake import NULL_PARTITION, in_partitions, location, read_optional, row_count, write_partitioned
 from fieldmart.sources.staging import staged
@@ -112,6 +112,7 @@ def demand_rules(df: DataFrame, keys=("sku_id", "district", "retailer_id", "week
     return [dq.not_null(df, ["sku_id", "district", "week"]), dq.unique(df, keys)]
 
 
+SOURCES = {"retailer": "features_retailers", "district": "features_district_risk", "demand": "retailer_inventory_weekly"}
 DEFAULT_KEYS = {"retailer": RETAILER_KEYS, "district": DISTRICT_KEYS, "demand": DEMAND_KEYS}
 
 
@@ -170,7 +171,11 @@ def refine(
         frame = with_default(frame, "ingestion_date", F.current_date())
         if day is None:
             clean = keep_latest(frame, keys[table])
-            written = write_partitioned(clean, f"{silver}/{table}", ["ingestion_date"], "publish" if publish else "all", [row_count()])
+            # Rows of one day all go to one folder, to which each task adds a file.
+            several = len(bronze_days(spark, bronze, SOURCES[table])) > 1
+            written = write_partitioned(
+                clean, f"{silver}/{table}", ["ingestion_date"], "publish" if publish else "all", [row_count()], gather=several
+            )
         else:
             written = merge_newest(spark, frame, f"{silver}/{table}", keys[table])
         rows[table] = written["rows"]

@@ -107,3 +107,20 @@ def test_report_and_alerts(spark):
     assert [r["rule"] for r in dq.failed_rules(bad).collect()] == ["NOT_NULL(x)"]
     good = dq.report(dq.checked(frame, [dq.min_rows(1)]), "t", run_time)
     assert good.first()["overall_passed"] and dq.alerts(good).count() == 0
+
+
+def test_rules_by_key_equal_rules_one_by_one(spark):
+    rows = [("a", None, -1.0), ("a", None, 2.0), (None, None, None), (None, None, -3.0), ("b", 1, 0.0), ("b", 1, 0.0), ("b", 2, 5.0)]
+    for frame in (spark.createDataFrame(rows, "x string, y int, v double"), spark.createDataFrame([], "x string, y int, v double")):
+        rules = [dq.not_null(frame, ["x", "y"]), dq.non_negative(frame, ["v"]), dq.unique(frame, ["x", "y"]), dq.min_rows(8)]
+        together = dq.evaluate(frame, rules).collect()
+        alone = [dq.evaluate(frame, [dq.Rule(r.name, r.failures, r.details)]).first() for r in rules]
+        assert together == alone
+    two_keys = [dq.unique(frame, ["x"]), dq.unique(frame, ["y"])]
+    assert [r["fail_count"] for r in dq.evaluate(spark.createDataFrame(rows, "x string, y int, v double"), two_keys).collect()] == [4, 4]
+
+
+def test_uniqueness_needs_no_exchange_behind_a_join_by_a_column_of_the_key(spark):
+    frame = spark.createDataFrame([("a", 1), ("a", 2)], "x string, y int").repartition("x")
+    plan = dq.evaluate(frame, [dq.not_null(frame, ["x"]), dq.unique(frame, ["x", "y"])])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

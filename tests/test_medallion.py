@@ -225,3 +225,20 @@ def test_arrival_events(spark):
     files = metrics.arrivals(frame)
     assert files.count() == 4
     assert sorted((r["key"], r["size"]) for r in metrics.triggering(files).collect()) == [("raw/a.csv", 7), ("raw/b.csv", 0)]
+
+
+def test_silver_of_one_bronze_day_is_written_without_a_gathering_shuffle(spark, raw, tmp_path, monkeypatch):
+    gathered, write = [], silver.write_partitioned
+
+    def spy(*args, gather=True, **kwargs):
+        gathered.append(gather)
+        return write(*args, gather=gather, **kwargs)
+
+    monkeypatch.setattr(silver, "write_partitioned", spy)
+    lake = str(tmp_path / "lake")
+    bronze.ingest(spark, raw, f"{lake}/bronze")
+    one = silver.refine(spark, f"{lake}/bronze", f"{lake}/silver", f"{lake}/reports")
+    assert gathered == [False, False, False] and one == {"retailer": 5, "district": 5, "demand": 2}
+    bronze.ingest(spark, raw, f"{lake}/bronze", ingested_at=F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    assert silver.refine(spark, f"{lake}/bronze", f"{lake}/silver", f"{lake}/reports2") == one
+    assert gathered[3:] == [True, True, True]
