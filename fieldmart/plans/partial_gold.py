@@ -79,7 +79,7 @@ RETAILER_KPI = Table(
     lambda df, known: scores.retailer_priority(df, known).withColumn("visit_urgency", classify.VISIT_URGENCY.column()),
     (
         Family(("retailer_id",), ("week", "avg_weekly_revenue"), ("revenue_wow_pct",), windows.week_over_week_revenue),
-        Family(("tehsil", "week"), ("rps_score",), ("top5_in_tehsil",), windows.flag_top5_in_tehsil),
+        Family(("tehsil", "week"), ("rps_score",), ("top5_in_tehsil",), lambda df: windows.flag_top5_in_tehsil(df, stage_cut_offs=True)),
     ),
     lambda df: gold.retailer_kpi(df, stage_cut_offs=True),
 )
